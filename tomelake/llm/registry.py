@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, source_mix, url_filter
+from . import chat_format, exact_dedup, near_dedup, source_mix, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_source_mix": source_mix.op10_source_mix,
     }
