@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, fingerprints, near_dedup, packing, source_mix, url_filter
+from . import chat_format, exact_dedup, fingerprints, near_dedup, packing, source_mix, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_simhash_fingerprints": fingerprints.op4_simhash_fingerprints,
         "op5_curve_packing": packing.op5_curve_packing,
