@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, fingerprints, near_dedup, packing, source_mix, toxicity, url_filter
+from . import chat_format, exact_dedup, fingerprints, near_dedup, packing, source_mix, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_curve_packing": packing.op5_curve_packing,
         "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_token_files": token_files.op9_token_files,
         "op10_source_mix": source_mix.op10_source_mix,
     }
 
