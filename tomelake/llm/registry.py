@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, fingerprints, near_dedup, packing, source_mix, token_files, toxicity, url_filter
+from . import chat_format, exact_dedup, fingerprints, near_dedup, packing, quality, source_mix, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_simhash_fingerprints": fingerprints.op4_simhash_fingerprints,
         "op5_curve_packing": packing.op5_curve_packing,
         "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
+        "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_token_files": token_files.op9_token_files,
         "op10_source_mix": source_mix.op10_source_mix,
