@@ -2,14 +2,16 @@
 
 1. `signatures`: each text's set of distinct five-word shingles gives SYMBOLS minimum hashes of BITS bits. Texts with the
    same set form one class, represented by its smallest doc_id.
-2. `candidates`: the signature is cut into chunks of CHUNK symbols. Two signatures that differ in at most RADIUS symbols
+2. `buckets`: the signature is cut into chunks of CHUNK symbols. Two signatures that differ in at most RADIUS symbols
    differ, by pigeonhole, in at most one symbol of some chunk; so every chunk is indexed once for each symbol that may be
-   wrong, and all pairs within the radius meet in a bucket. Within a bucket only a minimum spanning forest of the pairs
-   within the radius is proposed, never all pairs. Buckets beyond MOST_IN_BUCKET are split exactly: by the pairs of
-   symbols of the other chunks (again by pigeonhole), and what is still larger by pairs of blocks.
-3. `verified`: full shingle sets confirm each proposed link (100 * intersection >= 75 * union).
-4. Buckets in which a proposed link failed propose, in a second pass, all pairs that cross the components found so far.
-5. Components over confirmed links.
+   wrong, and all pairs within the radius meet in a bucket. Buckets beyond MOST_IN_BUCKET are split exactly: by the pairs
+   of symbols of the other chunks (again by pigeonhole), and what is still larger by pairs of blocks.
+3. `families`: within a bucket only a spanning forest of the pairs within the radius is put out, never all pairs. Its
+   components are families: every pair within the radius lies in one.
+4. `confirmed`: a family (or, where a family is too large for a task, each of its buckets) is brought together with its
+   members' full shingle sets, and pairs within the radius are tried, nearest first, unless they are connected already.
+   A link holds where 100 * intersection >= 75 * union. Only the links that join two components are put out.
+5. Components over the confirmed links.
 
 Two texts of similarity 0.75 lie within the radius and so surely meet with probability 0.9997, and meet in any case with
 probability 1 - 2e-6; for more similar texts both are higher.
@@ -43,6 +45,8 @@ CHUNKS = SYMBOLS // CHUNK
 #: Differing symbols within which all pairs are found: fewer than two for each chunk.
 RADIUS = 2 * CHUNKS - 1
 MOST_IN_BUCKET = 6000
+#: Shingles (of 8 bytes) that are compared in one task at once, about.
+MOST_SHINGLES = 4_000_000
 _rng = np.random.Generator(np.random.PCG64(6))
 _XOR = _rng.integers(0, 1 << 64, SYMBOLS, dtype=np.uint64)
 _TIMES = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,7 +172,7 @@ def buckets(classes: DataFrame) -> DataFrame:
         if not rest.isEmpty():
             small = small.unionByName(_block_pairs(rest))
     lists = small.groupBy(F.xxhash64("members").alias("bucket"), F.xxhash64(F.lit(1), "members").alias("bucket2")).agg(F.first("members").alias("members"))
-    return lists.select("bucket", F.explode("members").alias("id"))
+    return lists.select("bucket", F.element_at("members", 1).alias("least"), F.explode("members").alias("id"))
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
@@ -179,64 +183,79 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     return other.groupBy("key", F.least("b", "o"), F.greatest("b", "o")).agg(F.array_sort(F.collect_set("id")).alias("members")).select("members")
 
 
-def _propose(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket -> pairs of classes within RADIUS (and of sizes that allow a link): a minimum spanning forest, or every pair of different components."""
-
-    def pairs(bucket, part):
-        ids = np.concatenate([p[0] for p in part])
-        ids, only = np.unique(ids, return_index=True)
-        n, sign, comp = (np.concatenate([p[k] for p in part])[only] for k in (1, 2, 3))
-        a, b = [], []
-        if every:
-            for i in range(len(ids) - 1):
-                ok = ((sign[i + 1 :] != sign[i]).sum(axis=1) <= RADIUS) & (comp[i + 1 :] != comp[i])
-                ok &= 100 * np.minimum(n[i + 1 :], n[i]) >= PERCENT * np.maximum(n[i + 1 :], n[i])
-                j = i + 1 + np.flatnonzero(ok)
-                a.append(np.full(len(j), ids[i]))
-                b.append(ids[j])
-        else:
-            far = SYMBOLS + 1
-            best, link = np.full(len(ids), far), np.zeros(len(ids), dtype=np.int64)
-            left = np.ones(len(ids), dtype=bool)
-            i = 0
-            while True:
-                left[i] = False
-                d = (sign != sign[i]).sum(axis=1)
-                d[(d > RADIUS) | (100 * np.minimum(n, n[i]) < PERCENT * np.maximum(n, n[i]))] = far
-                closer = left & (d < best)
-                best[closer], link[closer] = d[closer], i
-                rest = np.flatnonzero(left)
-                if not len(rest):
-                    break
-                i = rest[np.argmin(best[rest])]
-                if best[i] < far:
-                    a.append([min(ids[i], ids[link[i]])])
-                    b.append([max(ids[i], ids[link[i]])])
-        a = np.concatenate(a) if a else np.zeros(0)
-        b = np.concatenate(b) if b else np.zeros(0)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), bucket), pa.int64()), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["bucket", "a", "b"])
-
-    now, part = None, []
+def _runs(batches: Iterator[pa.RecordBatch], key: str, names: list[str]) -> Iterator[list[pa.Array]]:
+    """The columns of each run of rows with one key."""
+    now, parts = None, []
+
+    def joined():
+        return [pa.concat_arrays([p.column(n) for p in parts]) for n in names]
+
     for batch in batches:
-        key = batch.column("bucket").to_numpy()
-        if not len(key):
+        keys = batch.column(key).to_numpy()
+        if not len(keys):
             continue
-        cols = batch.column("id").to_numpy(), batch.column("n").to_numpy(), _matrix(batch.column("signature")), batch.column("component").to_numpy()
-        at = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        at = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
         for lo, hi in zip(at[:-1], at[1:], strict=True):
-            if key[lo] != now:
-                if part:
-                    yield pairs(now, part)
-                now, part = key[lo], []
-            part.append([c[lo:hi] for c in cols])
-    if part:
-        yield pairs(now, part)
-
-
-def _links(rows: DataFrame, every: bool) -> DataFrame:
-    n = shuffle_partitions(rows.sparkSession)
-    rows = rows.select("bucket", "id", "n", "signature", "component").repartition(n, "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(lambda x: _propose(x, every), "bucket long, a long, b long")
+            if keys[lo] != now:
+                if parts:
+                    yield joined()
+                now, parts = keys[lo], []
+            parts.append(batch.slice(lo, hi - lo))
+    if parts:
+        yield joined()
+
+
+def _near(sign: np.ndarray, n: np.ndarray, i: int, of: np.ndarray) -> np.ndarray:
+    """Distances of signature i from those of `of`; beyond the radius, or where the sizes rule a link out, SYMBOLS + 1."""
+    d = (sign[of] != sign[i]).sum(axis=1)
+    d[(d > RADIUS) | (100 * np.minimum(n[of], n[i]) < PERCENT * np.maximum(n[of], n[i]))] = SYMBOLS + 1
+    return d
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by bucket -> (a, b): each class with the least one that pairs within the radius connect it to. Pairs of earlier buckets aren't repeated."""
+    told: set[tuple[int, int]] = set()
+    for ids, n, sign in _runs(batches, "bucket", ["id", "n", "signature"]):
+        ids, n, sign = ids.to_numpy(), n.to_numpy(), _matrix(sign)
+        left = np.argsort(ids, kind="stable")
+        pairs = []
+        while len(left) > 1:
+            least, todo, left = ids[left[0]], [left[0]], left[1:]
+            while todo and len(left):
+                near = _near(sign, n, todo.pop(), left) <= RADIUS
+                reached, left = left[near], left[~near]
+                todo.extend(reached)
+                pairs += [(least, x) for x in ids[reached]]
+        fresh = set(pairs) - told
+        if fresh:
+            told = fresh if len(told) > 500_000 else told | fresh
+            a, b = np.array(sorted(fresh), dtype=np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def families(members: DataFrame) -> DataFrame:
+    """members(bucket, least, id, n, signature) -> (id, family) of all classes that have another one within the radius."""
+    n = shuffle_partitions(members.sparkSession)
+    # Buckets of one family often share their least member: side by side they repeat fewer pairs.
+    rows = members.repartition(n, "least", F.pmod("bucket", F.lit(8))).sortWithinPartitions("bucket").select("bucket", "id", "n", "signature")
+    pairs = rows.mapInArrow(_forest, "a long, b long").distinct()
+    return connected_components(pairs, "a", "b", cut=saved).select(F.col("vertex").alias("id"), F.col("component").alias("family"))
+
+
+def units(members: DataFrame, family: DataFrame, classes: DataFrame) -> DataFrame:
+    """(unit, id): sets of classes that fit into a task, so that every pair within the radius is in one."""
+    family = family.join(classes.select("id", "n"), "id")
+    sizes = saved(family.groupBy("family").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("size")))
+    fits = (F.col("shingles") <= MOST_SHINGLES) & (F.col("size") <= MOST_IN_BUCKET)
+    small = family.join(sizes.filter(fits), "family").select(F.col("family").alias("unit"), "id")
+    large = saved(sizes.filter(~fits))
+    if large.isEmpty():
+        return small
+    rows = members.select("bucket", "id", "n").join(family.join(large, "family").select("id"), "id")
+    blocks = rows.groupBy("bucket").agg(F.ceil(2 * F.sum("n") / MOST_SHINGLES).alias("blocks"))
+    rows = rows.join(blocks, "bucket").withColumn("b", F.pmod(F.xxhash64("id"), "blocks"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return small.unionByName(rows.select(F.xxhash64(F.lit("bucket"), "bucket", F.least("b", "o"), F.greatest("b", "o")).alias("unit"), "id"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,31 +266,48 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * same >= PERCENT * (len(x) + len(y) - same)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        linked = []
-        for x, y in zip(batch.column("shingles_a"), batch.column("shingles_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            same = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-            linked.append(100 * same >= PERCENT * (len(x) + len(y) - same))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs(a, b) -> (a, b, linked), decided on the full shingle sets. Only texts that a Bloom filter of the ids lets through are read on."""
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    """Rows by unit -> (a, b): each class with the least one that confirmed links of the unit connect it to."""
+    for ids, n, sign, sets in _runs(batches, "unit", ["id", "n", "signature", "shingles"]):
+        ids, n, sign = ids.to_numpy(), n.to_numpy(), _matrix(sign)
+        sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in sets]
+        order = np.argsort(ids, kind="stable")
+        part = np.arange(len(ids))  # of each class: the index of its component's first member in `order`
+        for nearest in (RADIUS // 3, RADIUS):  # nearest pairs first: they connect most, and connected ones need no look
+            for k in range(1, len(order)):
+                i, of = order[k], order[:k]
+                of = of[part[of] != part[i]]
+                if not len(of):
+                    continue
+                d = _near(sign, n, i, of)
+                for j in of[np.argsort(d, kind="stable")[: (d <= nearest).sum()]]:
+                    if part[j] != part[i] and linked(sets[i], sets[j]):
+                        part[part == part[i]] = part[j]
+        least = {}
+        for i in order:
+            least.setdefault(part[i], ids[i])
+        a = np.array([least[p] for p in part], dtype=np.int64)
+        joined = a != ids
+        yield pa.RecordBatch.from_arrays([pa.array(a[joined]), pa.array(ids[joined])], ["a", "b"])
+
+
+def confirmed(unit: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that hold on the full shingle sets. Only texts that a Bloom filter of the ids lets through are shuffled."""
+    ids = saved(unit.select(F.col("id").alias("doc_id")).distinct())
     bits = filter_bits(ids.count())
     marked = repeated_cells(ids.unionAll(ids), "doc_id", bits, 2)  # each id twice: its cells are marked
-    texts = may_repeat(docs.select("doc_id", "text"), "doc_id", marked, bits, 2).filter("may_repeat")
-    sets = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, shingles binary")
-    sets = stored(sets, "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("shingles_a")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("shingles").alias("shingles_b")), "b"
-    )
-    return both.mapInArrow(_confirm, "a long, b long, linked boolean")
+    texts = may_repeat(docs.select("doc_id", "text"), "doc_id", marked, bits, 2).filter("may_repeat").drop("may_repeat")
+    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"])
+    rows = unit.join(sets, "id").join(classes.select("id", "n", "signature"), "id").select("unit", "id", "n", "signature", "shingles")
+    rows = rows.repartition(shuffle_partitions(unit.sparkSession), "unit").sortWithinPartitions("unit")
+    return rows.mapInArrow(_confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -280,17 +316,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = stored(classes, "classes")
     members = stored(buckets(classes).join(classes.select("id", "n", "signature"), "id"), "members")
-    proposed = stored(_links(members.withColumn("component", F.col("id")), every=False), "proposed")
-    checked = stored(verified(proposed.select("a", "b").distinct(), docs), "checked")
-    component = connected_components(checked.filter("linked"), "a", "b", cut=saved)
-    failed = checked.filter("not linked").select("a", "b")
-    again = proposed.join(failed, ["a", "b"], "left_semi").select("bucket").distinct()
-    rest = members.join(again, "bucket", "left_semi").join(component.select(F.col("vertex").alias("id"), "component"), "id", "left")
-    rest = _links(rest.withColumn("component", F.coalesce("component", "id")), every=True).select("a", "b").distinct().join(failed, ["a", "b"], "left_anti")
-    rest = stored(rest, "second")
-    if not rest.isEmpty():
-        more = verified(rest, docs).filter("linked")
-        component = connected_components(checked.filter("linked").unionByName(more), "a", "b", cut=saved)
+    unit = saved(units(members, families(members), classes))
+    component = connected_components(stored(confirmed(unit, classes, docs), "links"), "a", "b", cut=saved)
     ids = classes.select("set_key", "id").join(component.withColumnRenamed("vertex", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("_component"))
     out = signed.join(ids, "set_key", "left").withColumn("component_id", F.coalesce("_component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
