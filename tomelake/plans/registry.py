@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from . import box_queries, catalog_queries, text_queries
+
+MODULES = (text_queries, box_queries, catalog_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch fuzzy search of misspelt titles."""
+    return catalog_queries.QUERIES["search_many"](spark, sf_dir)
