@@ -6,7 +6,7 @@ key. Documents are range-sorted by (key, doc_id) and their token ids laid end to
 sequence are alike. Sequences of LENGTH ids are full; the last ids of a range are cut into sequences whose lengths are
 powers of two, so nothing is padded.
 
-Edge cases: a null or empty text is one piece with only the end id; repeated rows are packed each; a text longer than a
+Edge cases: a null or empty text is one piece with only the end id; repeated rows, and rows without a doc_id, are packed each; a text longer than a
 sequence is cut; equal texts (one key) are ordered by doc_id and may fill several ranges; an empty table gives no piece;
 extra columns are ignored.
 """
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import tokens
@@ -25,6 +26,8 @@ from .common import shuffle_partitions, table
 from .shingles import slices, words
 
 LENGTH = 2048
+#: About so many documents are sampled for the bounds of the ranges.
+SAMPLE_ROWS = 20_000
 FEATURES, DIMS, BITS = 512, 4, 8
 _PROJECTION = np.random.Generator(np.random.PCG64(5)).standard_normal((FEATURES, DIMS)).astype(np.float32)
 
@@ -71,12 +74,39 @@ def hilbert_keys(x: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def curve_keys(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of a batch with a column text, and the keys of their texts."""
+    for first, end, raw, at in slices(batch.column("text")):
+        h, counts, _, _ = words(raw, at)
+        yield batch.slice(first, end - first), hilbert_keys(cells(vectors(h, counts)))
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, end, raw, at in slices(batch.column("text")):
-            h, counts, _, _ = words(raw, at)
-            part = batch.slice(first, end - first)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(hilbert_keys(cells(vectors(h, counts)))), part.column("text")], ["doc_id", "curve", "text"])
+        for part, key in curve_keys(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(key), part.column("doc_id")], ["curve", "doc_id"])
+
+
+def along_curve(docs: DataFrame) -> DataFrame:
+    """doc_id, curve, text in ranges of (curve, doc_id), sorted. A bounded sample sets the bounds, which decide only how evenly ranges are filled."""
+    spark = docs.sparkSession
+    n = shuffle_partitions(spark)
+    docs = docs.select("doc_id", "text")
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+    sample = docs.sample(fraction=share, seed=5) if share < 1 else docs
+    rows = sorted((r["curve"], -(1 << 63) if r["doc_id"] is None else r["doc_id"]) for r in sample.mapInArrow(_sampled, "curve long, doc_id long").collect())
+    bounds = np.array([rows[len(rows) * i // n] for i in range(1, n)] if rows else [], dtype=[("curve", np.int64), ("doc_id", np.int64)])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, key in curve_keys(batch):
+                pairs = np.empty(len(key), dtype=bounds.dtype)
+                pairs["curve"], pairs["doc_id"] = key, pc.fill_null(part.column("doc_id"), -(1 << 63)).to_numpy(zero_copy_only=False)
+                place = np.searchsorted(bounds, pairs, side="right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key), part.column("text"), pa.array(place)], ["doc_id", "curve", "text", "place"])
+
+    keyed = docs.mapInArrow(placed, "doc_id long, curve long, text string, place int")
+    return keyed.repartitionById(n, "place").sortWithinPartitions("curve", "doc_id")
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -153,10 +183,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -
         packer.finish()
         yield packer.take()
 
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text").mapInArrow(_keys, "doc_id long, curve long, text string")
-    along = keyed.repartitionByRange(shuffle_partitions(spark), "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
-    return along.select("doc_id", "text").mapInArrow(lay, _PIECES)
+    return along_curve(docs).select("doc_id", "text").mapInArrow(lay, _PIECES)
 
 
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
