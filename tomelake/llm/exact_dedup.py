@@ -6,7 +6,7 @@ normalised text, and lets all others through. A false positive costs a shuffled
 
 Edge cases: null text counts as empty; empty texts (and texts of white space alone) are equal to each other; a row that
 repeats both doc_id and text belongs to the group like any copy, and each repetition of the kept doc_id is marked kept;
-an empty table gives an empty result; extra columns are ignored by `duplicate_groups` and kept by `drop_copies`.
+a null doc_id is an id like others and comes last among ties; an empty table gives an empty result; extra columns are ignored by `duplicate_groups` and kept by `drop_copies`.
 """
 
 from __future__ import annotations
@@ -78,11 +78,11 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shuffled = small.filter("may_repeat")
     groups = saved(
         shuffled.groupBy("text_sha256").agg(
-            F.max_by("doc_id", F.struct("n_code_points", -F.col("doc_id"))).alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+            F.max_by("doc_id", F.struct("n_code_points", F.coalesce(-F.col("doc_id"), F.lit(-(1 << 63)).cast("long")))).alias("keep_id"), F.count(F.lit(1)).alias("group_size")
         )
     )
     grouped = shuffled.join(groups, "text_sha256").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
     return alone.unionByName(grouped)
 

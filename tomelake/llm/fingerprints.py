@@ -6,7 +6,7 @@ radius + equal blocks, and two fingerprints within the radius agree on some `equ
 of blocks, keyed by them, brings each such pair together.
 
 Edge cases: null counts as empty; a text without words has the fingerprint of zeros; equal texts have equal fingerprints;
-rows that repeat a doc_id are ordered by a hash of their text; the only document of a table is its own next one; an empty
+rows that repeat a doc_id are ordered by a hash of their text; rows without one come before all others; the only document of a table is its own next one; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -152,20 +152,20 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     document it follows; the largest of all goes to the lowest range.
     """
     n = shuffle_partitions(docs.sparkSession)
-    docs = docs.select("doc_id", text_of().alias("text"))
-    bounds = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    if bounds is None or not docs.select("doc_id").head(1):
+    docs = docs.select("doc_id", text_of().alias("text"), F.coalesce("doc_id", F.lit(-(1 << 62)).cast("long")).alias("_order"))
+    bounds = docs.approxQuantile("_order", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    if bounds is None or not docs.select("_order").head(1):
         return docs.sparkSession.createDataFrame([], _EDITED)
     bounds = sorted({int(b) for b in bounds})
-    bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
+    bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("_order"))) if bounds else F.lit(0)
     placed = docs.withColumn("bucket", bucket)
-    tops = sorted((r["bucket"], r["top"]) for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
+    tops = sorted((r["bucket"], r["top"]) for r in placed.groupBy("bucket").agg(F.max("_order").alias("top")).collect())
     above = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    goes = F.element_at(F.create_map(*[F.lit(x) for pair in above.items() for x in pair]), F.col("doc_id"))
+    goes = F.element_at(F.create_map(*[F.lit(x) for pair in above.items() for x in pair]), F.col("_order"))
     targets = F.array(F.struct(F.col("bucket"), F.lit(False).alias("context")), F.struct(goes.alias("bucket"), F.lit(True).alias("context")))
-    targets = F.when(F.col("doc_id").isin(*above), targets).otherwise(F.slice(targets, 1, 1))
-    rows = placed.select("doc_id", "text", F.explode(targets).alias("t")).select("doc_id", "text", "t.bucket", "t.context")
-    rows = rows.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket", F.desc("context"), "doc_id", F.xxhash64("text"))
+    targets = F.when(F.col("_order").isin(*above), targets).otherwise(F.slice(targets, 1, 1))
+    rows = placed.select("doc_id", "_order", "text", F.explode(targets).alias("t")).select("doc_id", "_order", "text", "t.bucket", "t.context")
+    rows = rows.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket", F.desc("context"), "_order", F.xxhash64("text"))
     return rows.select("doc_id", "context", "text").mapInArrow(_with_next, _EDITED)
 
 

@@ -17,7 +17,7 @@ Two texts of similarity 0.75 lie within the radius and so surely meet with proba
 probability 1 - 2e-6; for more similar texts both are higher.
 
 Edge cases: null and empty texts, and texts of white space, have an empty set, are linked with nothing and stay; a row
-that repeats a doc_id is the same document; texts of one to four words are one shingle; ties go to the smallest doc_id;
+that repeats a doc_id is the same document; one without a doc_id has no component, is linked with nothing and stays; texts of one to four words are one shingle; ties go to the smallest doc_id;
 an empty table gives an empty result; extra columns are ignored by `near_duplicates` and kept by `drop_near_copies`.
 """
 
@@ -313,14 +313,15 @@ def confirmed(unit: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     signed = stored(signatures(docs), "signatures")
-    classes = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = stored(classes, "classes")
     members = stored(buckets(classes).join(classes.select("id", "n", "signature"), "id"), "members")
     unit = saved(units(members, families(members), classes))
     component = connected_components(stored(confirmed(unit, classes, docs), "links"), "a", "b", cut=saved)
     ids = classes.select("set_key", "id").join(component.withColumnRenamed("vertex", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("_component"))
-    out = signed.join(ids, "set_key", "left").withColumn("component_id", F.coalesce("_component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    named = F.col("doc_id").isNotNull()
+    out = signed.join(ids, "set_key", "left").withColumn("component_id", F.when(named, F.coalesce("_component", "doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", (~named | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

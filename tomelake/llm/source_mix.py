@@ -10,7 +10,7 @@ Within a source, documents are ordered by the MD5 of their id. The rank is count
 that hash, and from the sizes of the ranges before, so a source with most of the rows is never sorted by one task.
 
 Edge cases: sources without a weight, null included, share the pseudo-source `other`; a document with repeated id gets
-one place for each row; weight 0 is refused; empty tables give empty results; extra columns are kept by `in_mix_order`.
+one place for each row (in `in_mix_order` the place of one of them); one without an id is placed too, and comes first in `in_mix_order`; weight 0 is refused; empty tables give empty results; extra columns are kept by `in_mix_order`.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def source_ranks(docs: DataFrame) -> DataFrame:
     digits = 1
     while 16**digits * RANGE_ROWS < n or digits < 2:
         digits += 1
-    docs = docs.withColumn("_md5", F.md5(F.col("doc_id").cast("string"))).withColumn("_range", F.substring("_md5", 1, digits))
+    docs = docs.withColumn("_md5", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_range", F.substring("_md5", 1, digits))
     sizes = docs.groupBy("mix_source", "_range").count()
     before = F.sum("count").over(W.partitionBy("mix_source").orderBy("_range")) - F.col("count")
     sizes = saved(sizes.select("mix_source", "_range", before.alias("_before")))
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, weights: dict[str, int], block: int = BLOCK) -> DataFra
 def in_mix_order(docs: DataFrame, weights: dict[str, int], block: int = BLOCK) -> DataFrame:
     """All of docs, with their columns, range-partitioned and sorted by place in the mix: written files are the interleaved order."""
     places = mix(docs, weights, block).select("doc_id", F.col("position").alias("_position")).dropDuplicates(["doc_id"])
-    ordered = docs.join(places, "doc_id").repartitionByRange(shuffle_partitions(docs.sparkSession), "_position", "doc_id")
+    ordered = docs.join(places, "doc_id", "left").repartitionByRange(shuffle_partitions(docs.sparkSession), "_position", "doc_id")
     return ordered.sortWithinPartitions("_position", "doc_id").select(*docs.columns)
 
 

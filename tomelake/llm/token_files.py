@@ -10,7 +10,7 @@ Writers work on ranges of doc_id, one file each, under a temporary name that is
 whole: a task that runs again replaces its file by the same one. Files lie in the shared folder and are opened through
 pyarrow's file systems.
 
-Edge cases: null and empty texts have only the end id; rows that repeat a doc_id follow each other in the order of a hash
+Edge cases: null and empty texts have only the end id; rows without a doc_id come first; rows that repeat a doc_id follow each other in the order of a hash
 of their text; a document may span blocks and groups; an empty table gives empty files and an empty result; extra columns
 are ignored.
 """
@@ -33,6 +33,8 @@ from .range_coder import decode_blocks, encode_blocks
 MAGIC = b"TLIDS1\0\0"
 BLOCK_IDS, GROUP_BLOCKS = 4096, 1536
 DIGITS = 4
+#: Stands in a file for a missing doc_id.
+NO_ID = -(1 << 63)
 _HEAD, _BLOCK = struct.Struct("<4I"), struct.Struct("<4I")
 
 
@@ -49,7 +51,7 @@ class FileWriter:
         out.write(MAGIC)
 
     def add(self, doc_id: int, ids: bytes) -> None:
-        self.docs.append((doc_id, len(ids) // 4))
+        self.docs.append((NO_ID if doc_id is None else doc_id, len(ids) // 4))
         self.parts.append(ids)
         self.held += len(ids) // 4
         self.n_docs += 1
@@ -110,14 +112,14 @@ def read_groups(source) -> Iterator[tuple[list[int], list[int], bytes]]:
         yield docs.tolist(), counts.tolist(), b"".join(ids)
 
 
-def read_documents(source) -> Iterator[tuple[int, bytes]]:
+def read_documents(source) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids as u32) of an open file, in its order."""
     held: list[bytes] = []
     for docs, counts, stream in read_groups(source):
         at = 0
         for doc, count in zip(docs, counts, strict=True):
             need = 4 * count - sum(map(len, held))
-            yield doc, b"".join([*held, stream[at : at + need]])
+            yield None if doc == NO_ID else doc, b"".join([*held, stream[at : at + need]])
             held, at = [], at + need
         if at < len(stream):
             held.append(stream[at:])
