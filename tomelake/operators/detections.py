@@ -7,8 +7,8 @@ pairs that may overlap meet in the cells of a grid, so a session isn't crossed w
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -205,18 +205,34 @@ def suppress(detections: DataFrame, preset: G.Preset = G.SPINE, most: int = 500)
     few = detections.select("session_id", "det_idx", *BOX, "score").withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= most).drop("_n")
     iou, sigma, least, soft, limit = IOU[preset.nms_mode], preset.soft_sigma, preset.soft_threshold, preset.soft, preset.nms_iou
 
-    def one(session: pd.DataFrame) -> pd.DataFrame:
-        session = session.sort_values(["score", "det_idx"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        boxes, scores = session[BOX].values.tolist(), session["score"].tolist()
+    def one(rows: list[tuple]) -> Iterator[tuple]:
+        boxes, scores = [r[2:7] for r in rows], [r[7] for r in rows]
         kept = soft_nms(boxes, scores, sigma, least, iou) if soft else [(i, scores[i]) for i in hard_nms(boxes, scores, limit, iou)]
-        out = session.iloc[[i for i, _ in kept]].copy()
-        out["score"] = [s for _, s in kept]
-        out["rank"] = np.arange(len(kept))
-        return out
+        for rank, (i, s) in enumerate(kept):
+            yield (*rows[i][:7], s, rank)
 
     kinds = dict(few.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ["session_id", "det_idx", *BOX, "score"]) + ", rank long"
-    return few.groupBy("session_id").applyInPandas(one, schema)
+    return _by_session(few, ["session_id", F.desc("score"), "det_idx"], one, schema)
+
+
+def _by_session(rows: DataFrame, order: list, one, schema: str) -> DataFrame:
+    """one(rows of a session) for each session, streamed through sorted partitions; the first column is the session."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.itertuples(index=False, name=None):
+                if held and held[0][0] != row[0]:
+                    out += one(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(list(one(held)) if held else [], columns=names)
+
+    return rows.repartition("session_id").sortWithinPartitions(*order).mapInPandas(run, schema)
 
 
 def postprocess(anchors: DataFrame, preset: G.Preset = G.SPINE) -> DataFrame:
@@ -228,18 +244,21 @@ def postprocess(anchors: DataFrame, preset: G.Preset = G.SPINE) -> DataFrame:
 
 def match_predictions(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per session: tp, fp, fn of a greedy one-to-one match in the order of the scores."""
-
-    def one(key, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        boxes, free, tp = t[BOX].values.tolist(), set(range(len(t))), 0
-        for b in p.sort_values(["score", "det_idx"], ascending=[False, True])[BOX].values.tolist():
-            best = max(free, key=lambda i: (box_iou(b, boxes[i]), -i), default=None)
-            if best is not None and box_iou(b, boxes[best]) >= threshold:
+    columns = ["session_id", "det_idx", *BOX]
+    rows = truth.select(*columns, F.lit(2.0).alias("score"), F.lit(True).alias("true")).unionByName(predictions.select(*columns, "score", F.lit(False).alias("true")))
+
+    def one(session: list[tuple]) -> Iterator[tuple]:
+        boxes = [r[2:7] for r in session if r[8]]
+        free, tp, n = set(range(len(boxes))), 0, len(session) - len(boxes)
+        for r in session[len(boxes) :]:
+            best = max(free, key=lambda i: (box_iou(r[2:7], boxes[i]), -i), default=None)
+            if best is not None and box_iou(r[2:7], boxes[best]) >= threshold:
                 free.discard(best)
                 tp += 1
-        return pd.DataFrame([[key[0], tp, len(p) - tp, len(t) - tp]], columns=["session_id", "tp", "fp", "fn"])
+        yield session[0][0], tp, n - tp, len(boxes) - tp
 
     kind = dict(predictions.dtypes)["session_id"]
-    return predictions.groupBy("session_id").cogroup(truth.groupBy("session_id")).applyInPandas(one, f"session_id {kind}, tp long, fp long, fn long")
+    return _by_session(rows, ["session_id", F.desc("true"), F.desc("score"), "det_idx"], one, f"session_id {kind}, tp long, fp long, fn long")
 
 
 def sweep(predictions: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:

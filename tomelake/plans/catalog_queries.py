@@ -135,21 +135,21 @@ def _existing(spark, d):
 def _incoming(spark, d):
     rows = B.read(spark, d, "lineitem")
     return rows.select(
-        F.lit("openLibrary").alias("provider"), F.col("l_orderkey").cast("string").alias("provider_id"), F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("title"), F.array("l_returnflag").alias("authors"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus")).otherwise("").alias("publisher"), F.col("l_linenumber").alias("seq")
+        F.lit("openLibrary").alias("provider"), F.col("l_orderkey").cast("string").alias("provider_id"), F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("title"), F.array("l_returnflag").alias("authors"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus")).otherwise("").alias("publisher"), F.expr("cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000").alias("seq")
     )
 
 
 _query(
     "upsert_books",
     lambda spark, d: C.upsert_books(_existing(spark, d), _incoming(spark, d)).select("provider_id", "title", F.array_join("authors", ",").alias("authors"), "publisher"),
-    """WITH l AS (SELECT l_orderkey AS k, arg_max('t' || l_partkey::VARCHAR, l_linenumber) AS title, arg_max(l_returnflag, l_linenumber) AS a, arg_max(l_linestatus, l_linenumber) FILTER (l_linenumber % 2 = 0) AS p FROM lineitem GROUP BY 1),
+    """WITH l AS (SELECT l_orderkey AS k, arg_max('t' || l_partkey::VARCHAR, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000) AS title, arg_max(l_returnflag, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000) AS a, arg_max(l_linestatus, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000) FILTER (l_linenumber % 2 = 0) AS p FROM lineitem GROUP BY 1),
 e AS (SELECT o_orderkey AS k, o_orderpriority AS title, o_orderstatus AS a, CASE WHEN o_orderkey % 2 = 0 THEN 'old' END AS p FROM orders WHERE o_orderkey % 3 <> 0)
 SELECT coalesce(l.k, e.k)::VARCHAR AS provider_id, coalesce(l.title, e.title) AS title, coalesce(l.a, e.a) AS authors, coalesce(l.p, e.p) AS publisher FROM l FULL JOIN e ON l.k = e.k""",
 )
 _query(
     "last_writer_wins",
     lambda spark, d: C.last_writer_wins(_existing(spark, d).select("provider_id", "title"), _incoming(spark, d).select("provider_id", "title", "seq"), ["provider_id"], "seq"),
-    """WITH l AS (SELECT l_orderkey AS k, arg_max('t' || l_partkey::VARCHAR, l_linenumber) AS title FROM lineitem GROUP BY 1)
+    """WITH l AS (SELECT l_orderkey AS k, arg_max('t' || l_partkey::VARCHAR, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000) AS title FROM lineitem GROUP BY 1)
 SELECT k::VARCHAR AS provider_id, title FROM l UNION ALL SELECT o_orderkey::VARCHAR, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey NOT IN (SELECT k FROM l)""",
 )
 
@@ -190,22 +190,22 @@ def _resolved(spark, d):
     part = B.read(spark, d, "part")
     rows = B.read(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(
-        F.col("l_orderkey").alias("session_id"), F.col("l_orderkey").alias("session_seq"), F.col("l_linenumber").alias("ordering_key"), F.when(F.col("l_returnflag") == "R", "reject").when(F.col("l_returnflag") == "A", "suggested").otherwise("accept").alias("decision"), F.col("l_quantity").alias("confidence"),
+        F.col("l_orderkey").alias("session_id"), F.col("l_orderkey").alias("session_seq"), F.expr("cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000").alias("ordering_key"), F.when(F.col("l_returnflag") == "R", "reject").when(F.col("l_returnflag") == "A", "suggested").otherwise("accept").alias("decision"), F.col("l_quantity").alias("confidence"),
         F.when(F.col("p_partkey") % 4 == 0, F.col("p_partkey").cast("string")).alias("isbn13"), F.lit(None).cast("string").alias("isbn10"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"),
     )
 
 
-_LIB = """WITH r AS (SELECT l_orderkey AS session_id, l_linenumber AS ordering_key, CASE l_returnflag WHEN 'R' THEN 'reject' WHEN 'A' THEN 'suggested' ELSE 'accept' END AS decision, l_quantity AS confidence,
+_LIB = """WITH r AS (SELECT l_orderkey AS session_id, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS ordering_key, CASE l_returnflag WHEN 'R' THEN 'reject' WHEN 'A' THEN 'suggested' ELSE 'accept' END AS decision, l_quantity AS confidence,
   CASE WHEN p_partkey % 4 = 0 THEN 'isbn:' || p_partkey::VARCHAR ELSE 'ta:' || regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || ':' || regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') END AS dedupe_key FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 _query("library", lambda spark, d: E.library(_resolved(spark, d)).select("dedupe_key", "session_id", "ordering_key", "confidence"),
        f"{_LIB} SELECT dedupe_key, session_id, ordering_key, confidence FROM r WHERE decision <> 'reject' QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY confidence DESC, session_id DESC, ordering_key) = 1")
 _query("session_decision_counts", lambda spark, d: _resolved(spark, d).groupBy("session_id").agg(*[F.count_if(F.col("decision") == x).alias(x) for x in ("accept", "suggested", "reject")]),
        f"{_LIB} SELECT session_id, {', '.join(f'''count(*) FILTER (decision = '{x}') AS {x}''' for x in ('accept', 'suggested', 'reject'))} FROM r GROUP BY 1")
 _query("first_seen_books", lambda spark, d: C.first_seen(_resolved(spark, d).withColumn("key", D.identity_key(F.lit("s"), F.lit(None).cast("string"), F.col("isbn13"), F.col("isbn10"), F.col("title"))), "key", ["session_id"], "ordering_key").select("session_id", "ordering_key", "key"),
-       """WITH r AS (SELECT l_orderkey AS session_id, l_linenumber AS ordering_key, 's||' || CASE WHEN p_partkey % 4 = 0 THEN p_partkey::VARCHAR ELSE '' END || '||' || lower(p_name) AS key FROM lineitem JOIN part ON l_partkey = p_partkey)
+       """WITH r AS (SELECT l_orderkey AS session_id, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS ordering_key, 's||' || CASE WHEN p_partkey % 4 = 0 THEN p_partkey::VARCHAR ELSE '' END || '||' || lower(p_name) AS key FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY session_id, key ORDER BY ordering_key) = 1""")
 _query("waterfall", lambda spark, d: C.with_fallback(_resolved(spark, d).filter("decision = 'accept'").select("session_id", "title", "ordering_key"), _resolved(spark, d).filter("decision <> 'accept'").select("session_id", "title", "ordering_key"), "session_id", "title", "ordering_key").select("session_id", "title", "place"),
-       """WITH r AS (SELECT l_orderkey AS session_id, p_name AS title, l_linenumber AS o, CASE WHEN l_returnflag IN ('R', 'A') THEN 1 ELSE 0 END AS s FROM lineitem JOIN part ON l_partkey = p_partkey),
+       """WITH r AS (SELECT l_orderkey AS session_id, p_name AS title, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS o, CASE WHEN l_returnflag IN ('R', 'A') THEN 1 ELSE 0 END AS s FROM lineitem JOIN part ON l_partkey = p_partkey),
 k AS (SELECT * FROM r WHERE s = 0 OR (SELECT count(*) FROM r q WHERE q.session_id = r.session_id AND q.s = 0) < 3),
 u AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY session_id, title ORDER BY s, o) = 1)
 SELECT session_id, title, row_number() OVER (PARTITION BY session_id ORDER BY s, o) AS place FROM u QUALIFY place <= 10""")
@@ -236,7 +236,7 @@ _query("missing_results", lambda spark, d: C.missing_results(B.read(spark, d, "d
 _query("constraint_violations", lambda spark, d: C.violations(B.read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], {"quantity": F.col("l_quantity") < 50, "flag": F.col("l_returnflag").isin("A", "N", "R")}),
        "SELECT l_orderkey, l_linenumber, 'quantity' AS constraint FROM lineitem WHERE l_quantity >= 50 UNION ALL SELECT l_orderkey, l_linenumber, 'unique' FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 _query("resolver_keys", lambda spark, d: _resolved(spark, d).select("session_id", "ordering_key", D.resolver_key(F.lit("googleBooks"), F.col("title"), F.col("isbn13"), F.col("isbn10")).alias("resolver_key"), F.round(D.fallback_score(F.col("title"), F.array("author"), F.col("isbn13"), F.col("isbn10"), F.upper("title")), 6).alias("fallback_score")),
-       "SELECT l_orderkey AS session_id, l_linenumber AS ordering_key, CASE WHEN p_partkey % 4 = 0 THEN 'isbn:' || p_partkey::VARCHAR ELSE 'googleBooks:' || p_name END AS resolver_key, CASE WHEN p_partkey % 4 = 0 THEN 0.95 ELSE 0.9 END AS fallback_score FROM lineitem JOIN part ON l_partkey = p_partkey")
+       "SELECT l_orderkey AS session_id, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS ordering_key, CASE WHEN p_partkey % 4 = 0 THEN 'isbn:' || p_partkey::VARCHAR ELSE 'googleBooks:' || p_name END AS resolver_key, CASE WHEN p_partkey % 4 = 0 THEN 0.95::DOUBLE ELSE 0.9::DOUBLE END AS fallback_score FROM lineitem JOIN part ON l_partkey = p_partkey")
 _query("merged_evidence", lambda spark, d: E.merge_lines(B.lines(spark, d).select((F.col("doc_id") % 400).alias("candidate_id"), F.col("doc_id").alias("crop_idx"), (F.col("doc_id") % 7 / 7).alias("crop_score"), "line_idx", F.substring_index("line", " ", 6).alias("text"), (F.length("line") % 10 / 10).alias("confidence"))).select("candidate_id", F.size("merged_lines").alias("n_lines"), F.sha2("text_block", 256).alias("text_sha256")))
 
 # Events.
