@@ -114,8 +114,8 @@ def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(sub.view(np.int64)), pa.array(ids)], ["key", "id"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> members (sorted) of each key with 2 to MOST_IN_BUCKET ids; of larger ones each id as a row of its own with the key."""
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> members (sorted) of each key with 2 to `most` ids; of larger ones each id as a row of its own with the key."""
     kept_key, kept = None, []
     large = False
 
@@ -141,7 +141,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 done(out)
                 kept_key, kept, large = k, [], False
             kept.append(own)
-            if large or sum(map(len, kept)) > MOST_IN_BUCKET:
+            if large or sum(map(len, kept)) > most:
                 large = True
                 for part in kept:
                     for i in range(0, len(part), 500):
@@ -156,8 +156,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grouped(keyed: DataFrame) -> DataFrame:
-    n = shuffle_partitions(keyed.sparkSession)
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_groups, "key long, members array<long>")
+    n, most = shuffle_partitions(keyed.sparkSession), MOST_IN_BUCKET
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda x: _groups(x, most), "key long, members array<long>")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
