@@ -128,3 +128,17 @@ def test_edge_decisions(spark, top, second, tier, flags, kind):
 def test_tiers(spark, args, tier):
     kinds = ("string", "boolean", "double", "int", "double", "double")
     assert value(spark, D.evidence_tier(*[F.lit(a).cast(k) for a, k in zip(args, kinds, strict=True)])) == tier
+
+
+def test_token_variants(spark):
+    from tomelake.functions import variants as V
+
+    assert set(value(spark, V.token_variants(lit("G0lll")))) >= {"g0lll", "golll", "c0lll", "g0ll", "g0l", "g0iii"}
+    assert value(spark, V.token_variants(lit("a"))) == ["a"]
+    assert value(spark, V.common_prefix(lit(""), lit("abc"))) == 0
+    assert value(spark, V.common_suffix(lit("nation"), lit("station"))) == 5
+    assert value(spark, V.is_leading_drop(lit("arry"), lit("harry"))) is True
+    assert value(spark, V.is_truncated_prefix(lit("harr"), lit("harry"))) is True
+    assert value(spark, V.is_confusion_equivalent(lit("0liver"), lit("oliyer"))) is True
+    assert value(spark, V.passes_threshold(lit("abc"), lit("xyz"))) is False
+    assert value(spark, V.is_garbage(lit("xbcdfghjk"))) is True
