@@ -59,7 +59,7 @@ Model = tuple[dict[str, float], float, np.ndarray]
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == HELD_OUT
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
 def plain_words(raw: bytes) -> set[str]:
@@ -209,6 +209,14 @@ def skeleton(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
 
+#: Signs that stand for no letter, and runs of `!` or `$`: at a chunk's ends they are dropped by any decoding, so before it.
+_ENDS = re.compile(r"^(?:[#%&=~^_<>{}\\/`,.:;?\"')\[\]-]|!!+|\$\$+|\*\*+)+|(?:[#%&=~^_<>{}\\/`,.:;?\"'()\[\]-]|!!+|\$\$+|\*\*+)+$")
+
+
+def _decoration(part: str) -> str:
+    return part if part.isalpha() else _ENDS.sub("", part)
+
+
 class Finder:
     """Finds the lexicon's words in a text, restored where they are disguised."""
 
@@ -226,6 +234,7 @@ class Finder:
             if word in self.lexicon:
                 found.add(word)
             elif self.shortest <= len(part) <= LONGEST and sum(c.isalnum() or c in LEET or c == MASK for c in part) >= self.shortest:
+                part = _decoration(part)
                 disguised = not part.isalpha() or _THRICE.search(part)
                 found.update(w for x in {part, word} if (w := self.skeletons.get(skeleton(decode(x, self.model) if disguised else x))))
         return found
