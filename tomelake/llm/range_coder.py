@@ -4,7 +4,7 @@ Each block is coded from a fresh state. For each id, an order-2 and an order-1 c
 last; how sure each is and whether they agree selects an adaptive distribution over {order-2 proposal, order-1 proposal,
 neither}, which is the weight of each prediction in the mixture. In the third case an adaptive order-0 model codes the id
 by its hexadecimal digits, each with a distribution that depends on the two digits before it. All distributions are
-cumulative tables of total 2**15 that move towards each coded symbol.
+cumulative tables of total 2**14 that move towards each coded symbol.
 
 The range coder keeps 48 bits, puts out 16 bits at a time, and carries into what it has put out. One numpy step codes the
 same position of all blocks, so the cost per id falls with the number of blocks.
@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 
-TOTAL_BITS = 15
+TOTAL_BITS = 14
 TOTAL = 1 << TOTAL_BITS
 RATE = 5
-LEAST = 32
-SLOTS1, SLOTS2 = 1 << 11, 1 << 12
+LEAST = 16
+SLOTS1, SLOTS2 = 1 << 10, 1 << 11
 SURE = 3
 _U = np.uint64
 _48 = _U((1 << 48) - 1)
@@ -30,14 +30,14 @@ _32 = _U(32)
 def _targets(n: int) -> np.ndarray:
     """Row s: the cumulative table that gives symbol s all but the least shares."""
     at = np.arange(n + 1)
-    return np.stack([np.where(at <= s, at * LEAST, TOTAL - (n - at) * LEAST) for s in range(n)]).astype(np.int32)
+    return np.stack([np.where(at <= s, at * LEAST, TOTAL - (n - at) * LEAST) for s in range(n)]).astype(np.int16)
 
 
 _T3, _T16 = _targets(3), _targets(16)
 
 
 def _start(rows: int, n: int) -> np.ndarray:
-    return np.tile((np.arange(n + 1) * TOTAL // n).astype(np.int32), (rows, 1))
+    return np.tile((np.arange(n + 1) * TOTAL // n).astype(np.int16), (rows, 1))
 
 
 class _Models:
@@ -45,11 +45,12 @@ class _Models:
 
     def __init__(self, lanes: int, digits: int):
         self.digits = digits
+        kind = np.uint16 if digits <= 4 else np.int64  # small tables stay in the processor's cache
         self.contexts = 17 + 256 * max(0, digits - 2)
         self.flags = _start(lanes * (SURE + 1) ** 2 * 2, 3)
         self.hexes = _start(lanes * self.contexts, 16)
-        self.next1, self.sure1 = np.zeros(lanes * SLOTS1, np.int64), np.zeros(lanes * SLOTS1, np.int8)
-        self.next2, self.sure2 = np.zeros(lanes * SLOTS2, np.int64), np.zeros(lanes * SLOTS2, np.int8)
+        self.next1, self.sure1 = np.zeros(lanes * SLOTS1, kind), np.zeros(lanes * SLOTS1, np.int8)
+        self.next2, self.sure2 = np.zeros(lanes * SLOTS2, kind), np.zeros(lanes * SLOTS2, np.int8)
         self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.lane = np.arange(lanes)
 
@@ -59,7 +60,7 @@ class _Models:
         h = last * 0x9E3779B1
         i1 = lane * SLOTS1 + ((h >> 12) & (SLOTS1 - 1))
         i2 = lane * SLOTS2 + (((h ^ (last2 * 0x85EBCA6B)) >> 13) & (SLOTS2 - 1))
-        a1, a2 = self.next1[i1], self.next2[i2]
+        a1, a2 = self.next1[i1].astype(np.int64), self.next2[i2].astype(np.int64)
         row = ((lane * (SURE + 1) + self.sure2[i2]) * (SURE + 1) + self.sure1[i1]) * 2 + (a1 == a2)
         return i1, i2, a1, a2, row
 
@@ -133,7 +134,7 @@ class _Reader:
         """The symbol of each block whose cumulative table is the row of `table`."""
         r = self.range[lanes] >> _U(TOTAL_BITS)
         code = self.code[lanes]
-        value = np.minimum(code // r, _U(TOTAL - 1)).astype(np.int32)
+        value = np.minimum(code // r, _U(TOTAL - 1)).astype(np.int16)
         symbol = (table[:, 1:-1] <= value[:, None]).sum(axis=1)
         each = np.arange(len(symbol))
         lo, hi = table[each, symbol], table[each, symbol + 1]
