@@ -294,6 +294,18 @@ def test_url_rules_are_mined(spark, monkeypatch):
     assert judge() == first
 
 
+def test_url_rules_of_small_hosts_and_many_tokens(spark):
+    # Six pages of one host are under 1% of the labels; of the four words, any three occur on as many fine pages as blocked ones.
+    spam = [(i, f"http://spam.org/{i}", True) for i in range(6)]
+    fine = [(100 + i, f"http://fine.org/{i}", False) for i in range(900)]
+    words = ["aa", "bb", "cc", "dd"]
+    long = [(2000 + i, "http://mixed.org/" + "/".join(words), True) for i in range(6)]
+    parts = [(3000 + 10 * k + i, "http://mixed.org/" + "/".join(w for w in words if w != words[k]), False) for k in range(4) for i in range(6)]
+    df = spark.createDataFrame([*spam, *fine, *long, *parts], "page_id long, url string, blocked boolean")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(df.select("page_id", "url"), df.select("page_id", "blocked")).collect()}
+    assert got == {i: "block" if blocked else "allow" for i, _, blocked in [*spam, *fine, *long, *parts]}
+
+
 def test_toxicity(spark, none):
     rng = random.Random(9)
     bad = ["grimbol", "snarkfu"]

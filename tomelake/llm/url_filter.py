@@ -1,8 +1,9 @@
 """URL filters: explicit host and path rules first, then association rules mined with Spark's FP-growth.
 
 The mined part takes labelled URLs as baskets of tokens (host labels, words of the path) plus one item for a blocked
-page, keeps the rules tokens -> block that pass support, confidence and length, drops those to which a more general kept
-rule of at least the same confidence belongs, and matches a URL through an inverted index from each rule's rarest token.
+page, keeps the rules tokens -> block of any length that pass support and confidence, drops those to which a more general
+kept rule of at least the same confidence belongs, and matches a URL through an inverted index from each rule's rarest
+token. Support is a count of blocked pages that doesn't rise with the table, so a small host gets its rules in any of them.
 
 Edge cases: a null url, and one without `://`, has empty host and path and the verdict allow; a page without a label is
 no basket; repeated pages and labels count as they come; without labels, or where nothing passes, no rule is mined;
@@ -70,7 +71,7 @@ def explicit_rule(rules: tuple[Rule, ...], take) -> Column:
     return out
 
 
-def mine_rules(baskets: DataFrame, min_count: int, min_share: float, min_confidence: float, max_tokens: int) -> DataFrame:
+def mine_rules(baskets: DataFrame, min_count: int, min_confidence: float) -> DataFrame:
     """baskets(tokens, blocked) -> rules (items, confidence, anchor): pruned, each with its rarest token as anchor."""
     baskets = saved(baskets.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")))
     n = baskets.count()
@@ -78,12 +79,9 @@ def mine_rules(baskets: DataFrame, min_count: int, min_share: float, min_confide
     none = spark.createDataFrame([], "items array<string>, confidence double, anchor string")
     if not n:
         return none
-    least = max(min_count, -(-n * round(min_share * 1000) // 1000))
-    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / n), minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (min_count - 0.5) / n), minConfidence=min_confidence).fit(baskets)
     mined = saved(
-        model.associationRules.filter((F.element_at("consequent", 1) == BLOCK) & (F.size("antecedent") <= max_tokens)).select(
-            F.array_sort("antecedent").alias("items"), "confidence"
-        )
+        model.associationRules.filter(F.element_at("consequent", 1) == BLOCK).select(F.array_sort("antecedent").alias("items"), "confidence")
     )
     counts = model.freqItemsets.filter((F.size("items") == 1)).select(F.element_at("items", 1).alias("item"), "freq")
     rarest = (
@@ -128,14 +126,12 @@ def judge_urls(
     labels: DataFrame,
     rules: tuple[Rule, ...] = RULES,
     min_count: int = 5,
-    min_share: float = 0.01,
     min_confidence: float = 0.6,
-    max_tokens: int = 3,
 ) -> DataFrame:
     """pages(page_id, url), labels(page_id, blocked) -> page_id, host, path, rule, verdict, block_confidence."""
     urls = pages.select("page_id", host_of().alias("host"), path_of().alias("path")).withColumn("tokens", tokens_of())
     baskets = urls.filter("host != ''").join(labels.select("page_id", "blocked"), "page_id").select("tokens", "blocked")
-    urls = match_rules(urls, mine_rules(baskets, min_count, min_share, min_confidence, max_tokens))
+    urls = match_rules(urls, mine_rules(baskets, min_count, min_confidence))
     verdict = F.when(F.col("block_confidence").isNotNull(), "block").otherwise("allow")
     return urls.select(
         "page_id",
