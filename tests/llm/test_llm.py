@@ -325,6 +325,26 @@ def test_toxicity(spark, none):
     assert toxicity.score_texts(none, toxicity.learn(none, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
 
 
+@pytest.fixture
+def finder():
+    """A finder of four words, whose characters are counted in them."""
+    lexicon = {w: 1.0 for w in ("worthless", "scum", "idiot", "loser")}
+    counts = np.full((toxicity.N,) * 3, 0.01)
+    for word in lexicon:
+        c = [0, 0, *(ord(x) - 96 for x in word), 0]
+        for i in range(2, len(c)):
+            counts[c[i - 2], c[i - 1], c[i]] += 1
+    return toxicity.Finder(lexicon, np.log(counts / counts.sum(axis=2, keepdims=True)))
+
+
+def test_signs_at_the_ends_are_letters_or_decoration(finder):
+    probes = {"worthless": ["worthle$$", "w0rthle$$", "$$worthle$$", "worthle$$!!", "**worthle$$**"], "scum": ["$$cum", "!!$$cum!!", "$$scum$$", "--$$cum--"], "idiot": ["!!diot", "!!diot!!", "$$!!diot", "$$idiot!!"]}
+    for word, chunks in probes.items():
+        for chunk in chunks:
+            assert finder.restored(chunk) == {word}, chunk
+    assert not any(finder.restored(chunk) for chunk in ("!!", "$$$", "$$!!", "cumulate$$", "!!diots", "***", "worth$$"))
+
+
 def test_quality(spark, none):
     good = [(i, ". ".join(prose(12, 2000 + 9 * i + k).capitalize() for k in range(8)) + ".") for i in range(150)]
     bad = [(1000 + i, " | ".join(prose(80, 5000 + i).split())) for i in range(20)] + [(2000 + i, " ".join([WORDS[i]] * 90)) for i in range(20)] + [(3000 + i, "!! ".join(prose(60, 6000 + i).upper().split())) for i in range(20)]

@@ -6,10 +6,11 @@ Training, from labelled rows outside the held-out part:
 2. A character trigram model is counted over every text of the corpus, and interpolated with the lexicon's own trigrams.
 3. A logistic model weighs the lexicon's words.
 
-Scoring: a chunk that isn't plain letters, or holds a letter three times in a row, and each run of single characters set
-apart by spaces, spans a lattice: leetspeak signs may be the letters they stand for, separators may be dropped, and
+Scoring: a chunk that isn't plain letters, and each run of single characters set apart by spaces, spans a lattice: leetspeak signs may be the letters they stand for, separators may be dropped, and
 repeated characters may stand once or twice. Viterbi picks the likeliest letters under the character model and the
-channel's costs; the restored words are looked up in the lexicon, and the logistic model scores what was found.
+channel's costs; the restored words are looked up in the lexicon (without repetitions), and the logistic model scores what
+was found. Runs of `!` and `$` at a chunk's ends are read as letters and as decoration. A chunk whose plain letters no word
+of the lexicon holds in their order isn't decoded, as no decoding drops a plain letter.
 
 A text's score uses nothing but the text. Edge cases: null and empty texts get the score of a text without findings;
 without toxic training rows the lexicon is empty and scores are the base rate, 0 without any training row; repeated rows
@@ -163,7 +164,7 @@ def character_model(docs: DataFrame, lexicon: dict[str, float]) -> np.ndarray:
 def lattice(chunk: str) -> list[list[tuple[str, float]]]:
     """For each run of one character: the strings it may stand for, with log costs."""
     out = []
-    for m in re.finditer(r"(.)\1*", chunk, re.DOTALL):
+    for m in _RUN.finditer(chunk):
         sign, times = m[1], len(m[0])
         options = []
         letters = sign if sign.isalpha() else LEET.get(sign, "")
@@ -199,7 +200,7 @@ def decode(chunk: str, model: np.ndarray) -> str:
     return max(((s + model[a, b, 0], t) for (a, b), (s, t) in best.items()), default=(0.0, ""))[1]
 
 
-_THRICE = re.compile(r"(.)\1\1")
+_RUN = re.compile(r"(.)\1*", re.DOTALL)
 _TRIM = ".,;:?\"')]}([{"
 #: Single characters set apart: four at least, each a letter, digit or sign.
 _SPACED = re.compile(rb"(?<![^ \t\r\n])[a-zA-Z0-9@$!|+*](?:[ \t]+[a-zA-Z0-9@$!|+*]){3,}(?![^ \t\r\n])")
@@ -209,12 +210,28 @@ def skeleton(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
 
-#: Signs that stand for no letter, and runs of `!` or `$`: at a chunk's ends they are dropped by any decoding, so before it.
-_ENDS = re.compile(r"^(?:[#%&=~^_<>{}\\/`,.:;?\"')\[\]-]|!!+|\$\$+|\*\*+)+|(?:[#%&=~^_<>{}\\/`,.:;?\"'()\[\]-]|!!+|\$\$+|\*\*+)+$")
+#: Signs that stand for no letter.
+_DROPPED = "#%&=~^_<>{}\\/`,.:;?\"')[]-"
 
 
-def _decoration(part: str) -> str:
-    return part if part.isalpha() else _ENDS.sub("", part)
+def _ends(runs: list[str]) -> tuple[int, list[int]]:
+    """How many runs at the beginning are no letters or may be none (runs of `!` and `$`), and where the rest may begin: after them, or at the first or last that may be letters."""
+    n = 0
+    while n < len(runs) and (not (runs[n][0].isalpha() or runs[n][0] in LEET or runs[n] == MASK) or (runs[n][0] in "!$" and len(runs[n]) > 1)):
+        n += 1
+    signs = [i for i in range(n) if runs[i][0] in "!$"]
+    return n, [n, *signs[:1], *signs[-1:]]
+
+
+def readings(part: str) -> set[str]:
+    """A part without the signs at its ends that any decoding drops; runs of `!` and `$` there are letters in some readings and dropped in others."""
+    part = part.strip(_DROPPED)
+    if not part or (part[0] not in "!$*" and part[-1] not in "!$*"):
+        return {part}
+    runs = [m[0] for m in _RUN.finditer(part)]
+    n, first = _ends(runs)
+    _, last = _ends(runs[:n - 1 if n else None:-1])
+    return {"".join(runs[i : len(runs) - j]) for i in first for j in last}
 
 
 class Finder:
@@ -223,20 +240,36 @@ class Finder:
     def __init__(self, lexicon: dict[str, float], model: np.ndarray):
         self.lexicon, self.model = lexicon, model
         self.skeletons = {skeleton(w): w for w in lexicon}
+        self.having: dict[str, set[str]] = {}
+        for s in self.skeletons:
+            for letter in s:
+                self.having.setdefault(letter, set()).add(s)
         self.shortest = min(map(len, lexicon), default=1)
         self.known: dict[bytes, frozenset[str]] = {}
 
+    def word(self, x: str) -> str | None:
+        """The word of the lexicon that x is a disguise of. Decoding keeps letters, and only drops or doubles repeated ones."""
+        if x.isalpha():
+            return self.skeletons.get(skeleton(x))
+        letters = skeleton("".join(c for c in x if c.isalpha()))
+        if letters:
+            fit = set.intersection(*(self.having.get(c, set()) for c in set(letters)))
+            if not any(all(c in rest for c in letters) for rest in map(iter, fit)):
+                return None
+        return self.skeletons.get(skeleton(decode(x, self.model)))
+
     def restored(self, chunk: str) -> set[str]:
         """Words of the lexicon that a chunk (lower case, without spaces) holds."""
+        if chunk.isalpha():
+            w = chunk if chunk in self.lexicon else self.word(chunk) if self.shortest <= len(chunk) <= LONGEST else None
+            return {w} if w else set()
         found = set()
         for part in {chunk, chunk.strip(_TRIM)} | set(re.split(r"[-/_.,;:&]+", chunk)):
             word = part.strip("!.,;:?\"'()[]")
             if word in self.lexicon:
                 found.add(word)
             elif self.shortest <= len(part) <= LONGEST and sum(c.isalnum() or c in LEET or c == MASK for c in part) >= self.shortest:
-                part = _decoration(part)
-                disguised = not part.isalpha() or _THRICE.search(part)
-                found.update(w for x in {part, word} if (w := self.skeletons.get(skeleton(decode(x, self.model) if disguised else x))))
+                found.update(w for x in readings(part) | {word} if (w := self.word(x)))
         return found
 
     def chunk(self, raw: bytes) -> frozenset[str]:
