@@ -345,6 +345,14 @@ def test_signs_at_the_ends_are_letters_or_decoration(finder):
     assert not any(finder.restored(chunk) for chunk in ("!!", "$$$", "$$!!", "cumulate$$", "!!diots", "***", "worth$$"))
 
 
+def test_disguises_of_any_length_are_undone(finder):
+    long = {"l" + "o" * 200 + "ser": "loser", "i" + "*" * 200 + "d1ot": "idiot", "$" * 150 + "cum": "scum", "w0rthle" + "$" * 100: "worthless", ".-" * 5000 + "s.c.u.m" + "~=" * 5000: "scum"}
+    for chunk, word in long.items():
+        assert finder.restored(chunk) == {word}, chunk[:20]
+    assert not any(finder.restored(chunk) for chunk in ("l" + "o" * 200, "0123456789" * 20_000, "x1" * 100_000, "ab" * 100_000))
+    assert toxicity.decode("l0" * 50_000, finder.model) == "lo" * 50_000
+
+
 def test_quality(spark, none):
     good = [(i, ". ".join(prose(12, 2000 + 9 * i + k).capitalize() for k in range(8)) + ".") for i in range(150)]
     bad = [(1000 + i, " | ".join(prose(80, 5000 + i).split())) for i in range(20)] + [(2000 + i, " ".join([WORDS[i]] * 90)) for i in range(20)] + [(3000 + i, "!! ".join(prose(60, 6000 + i).upper().split())) for i in range(20)]

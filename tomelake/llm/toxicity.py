@@ -10,7 +10,8 @@ Scoring: a chunk that isn't plain letters, and each run of single characters set
 repeated characters may stand once or twice. Viterbi picks the likeliest letters under the character model and the
 channel's costs; the restored words are looked up in the lexicon (without repetitions), and the logistic model scores what
 was found. Runs of `!` and `$` at a chunk's ends are read as letters and as decoration. A chunk whose plain letters no word
-of the lexicon holds in their order isn't decoded, as no decoding drops a plain letter.
+of the lexicon holds in their order isn't decoded, as no decoding drops a plain letter, nor one that has more letters in any
+decoding than the longest word; else its length is of no matter, as a run of one sign is one step.
 
 A text's score uses nothing but the text. Edge cases: null and empty texts get the score of a text without findings;
 without toxic training rows the lexicon is empty and scores are the base rate, 0 without any training row; repeated rows
@@ -49,7 +50,6 @@ SEPARATORS = "*.-_~'`^,:;/\\#%&=\"?)]}[{<>|!+("
 SIGN_COST, DROP_COST, UNREAD_COST, REPEAT_COST = -0.7, -0.3, -3.0, -0.2
 #: A masked letter: any vowel, at this cost.
 MASK, MASKED, MASK_COST = "*", "aeiou", -2.0
-LONGEST = 48
 N = 28  # a-z are 1 to 26, other letters 27, edges of words 0
 _CODE = np.zeros(256, dtype=np.int64)
 _CODE[97:123] = np.arange(1, 27)
@@ -182,11 +182,11 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(chunk: str, model: np.ndarray) -> str:
-    """The likeliest letters of a chunk: Viterbi over pairs of last letters."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest letters of a chunk: Viterbi over pairs of last letters, each with a link to the letters before."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in lattice(chunk):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, before) in best.items():
             for letters, cost in options:
                 s, x, y = score + cost, a, b
                 for ch in letters:
@@ -195,9 +195,26 @@ def decode(chunk: str, model: np.ndarray) -> str:
                     x, y = y, code
                 old = after.get((x, y))
                 if old is None or s > old[0]:
-                    after[x, y] = (s, text + letters)
+                    after[x, y] = (s, (before, letters) if letters else before)
         best = after
-    return max(((s + model[a, b, 0], t) for (a, b), (s, t) in best.items()), default=(0.0, ""))[1]
+    _, link = max(((s + model[a, b, 0], link) for (a, b), (s, link) in best.items()), key=lambda x: x[0], default=(0.0, None))
+    out = []
+    while link:
+        link, letters = link
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def least_letters(chunk: str) -> int:
+    """So many letters, without repetitions, any decoding of a chunk has at least: of runs that can't be dropped, those with no letter in common are different ones."""
+    n, common = 0, set()
+    for sign in (m[1] for m in _RUN.finditer(chunk)):
+        letters = {sign} if sign.isalpha() else set() if sign in SEPARATORS else set(LEET.get(sign, ""))
+        if letters:
+            common &= letters
+            if not common:
+                n, common = n + 1, letters
+    return n
 
 
 _RUN = re.compile(r"(.)\1*", re.DOTALL)
@@ -240,6 +257,7 @@ class Finder:
     def __init__(self, lexicon: dict[str, float], model: np.ndarray):
         self.lexicon, self.model = lexicon, model
         self.skeletons = {skeleton(w): w for w in lexicon}
+        self.longest = max(map(len, self.skeletons), default=0)
         self.having: dict[str, set[str]] = {}
         for s in self.skeletons:
             for letter in s:
@@ -256,19 +274,19 @@ class Finder:
             fit = set.intersection(*(self.having.get(c, set()) for c in set(letters)))
             if not any(all(c in rest for c in letters) for rest in map(iter, fit)):
                 return None
-        return self.skeletons.get(skeleton(decode(x, self.model)))
+        return self.skeletons.get(skeleton(decode(x, self.model))) if least_letters(x) <= self.longest else None
 
     def restored(self, chunk: str) -> set[str]:
         """Words of the lexicon that a chunk (lower case, without spaces) holds."""
         if chunk.isalpha():
-            w = chunk if chunk in self.lexicon else self.word(chunk) if self.shortest <= len(chunk) <= LONGEST else None
+            w = chunk if chunk in self.lexicon else self.word(chunk) if self.shortest <= len(chunk) else None
             return {w} if w else set()
         found = set()
         for part in {chunk, chunk.strip(_TRIM)} | set(re.split(r"[-/_.,;:&]+", chunk)):
             word = part.strip("!.,;:?\"'()[]")
             if word in self.lexicon:
                 found.add(word)
-            elif self.shortest <= len(part) <= LONGEST and sum(c.isalnum() or c in LEET or c == MASK for c in part) >= self.shortest:
+            elif self.shortest <= len(part) and sum(c.isalnum() or c in LEET or c == MASK for c in part) >= self.shortest:
                 found.update(w for x in readings(part) | {word} if (w := self.word(x)))
         return found
 
