@@ -1,5 +1,6 @@
 """Table operators against plain Python."""
 
+import hashlib
 import random
 
 import pytest
@@ -131,3 +132,16 @@ def test_entry_point_has_all_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 60
     assert T.FOLD_FROM and len(T.FOLD_FROM) == len(T.FOLD_TO)
+
+
+def test_merged_evidence_takes_all_documents_and_whole_lines(spark, tmp_path):
+    from tomelake.plans import registry
+
+    words = lambda i: " ".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest()[:6] for k in range(9))
+    texts = {i: words(i) for i in range(1500)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["candidate_id"]: (r["n_lines"], r["text_sha256"]) for r in registry.queries()["merged_evidence"](spark, str(tmp_path)).collect()}
+    assert len(got) == 500
+    for c in range(500):
+        order = sorted(range(3 * c, 3 * c + 3), key=lambda i: (-(len(texts[i]) % 10), -(i % 7), i))
+        assert got[c] == (3, hashlib.sha256("\n".join(texts[i] for i in order).encode()).hexdigest())

@@ -237,7 +237,7 @@ _query("constraint_violations", lambda spark, d: C.violations(B.read(spark, d, "
        "SELECT l_orderkey, l_linenumber, 'quantity' AS constraint FROM lineitem WHERE l_quantity >= 50 UNION ALL SELECT l_orderkey, l_linenumber, 'unique' FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 _query("resolver_keys", lambda spark, d: _resolved(spark, d).select("session_id", "ordering_key", D.resolver_key(F.lit("googleBooks"), F.col("title"), F.col("isbn13"), F.col("isbn10")).alias("resolver_key"), F.round(D.fallback_score(F.col("title"), F.array("author"), F.col("isbn13"), F.col("isbn10"), F.upper("title")), 6).alias("fallback_score")),
        "SELECT l_orderkey AS session_id, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS ordering_key, CASE WHEN p_partkey % 4 = 0 THEN 'isbn:' || p_partkey::VARCHAR ELSE 'googleBooks:' || p_name END AS resolver_key, CASE WHEN p_partkey % 4 = 0 THEN 0.95::DOUBLE ELSE 0.9::DOUBLE END AS fallback_score FROM lineitem JOIN part ON l_partkey = p_partkey")
-_query("merged_evidence", lambda spark, d: E.merge_lines(B.lines(spark, d).select((F.col("doc_id") % 400).alias("candidate_id"), F.col("doc_id").alias("crop_idx"), (F.col("doc_id") % 7 / 7).alias("crop_score"), "line_idx", F.substring_index("line", " ", 6).alias("text"), (F.length("line") % 10 / 10).alias("confidence"))).select("candidate_id", F.size("merged_lines").alias("n_lines"), F.sha2("text_block", 256).alias("text_sha256")))
+_query("merged_evidence", lambda spark, d: E.merge_lines(B.lines(spark, d).select(F.floor(F.col("doc_id") / 3).alias("candidate_id"), F.col("doc_id").alias("crop_idx"), (F.col("doc_id") % 7 / 7).alias("crop_score"), "line_idx", F.col("line").alias("text"), (F.length("line") % 10 / 10).alias("confidence"))).select("candidate_id", F.size("merged_lines").alias("n_lines"), F.sha2("text_block", 256).alias("text_sha256")))
 
 # Events.
 
