@@ -16,9 +16,19 @@ def ship(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH")]))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df checkpointed to spark.checkpoint.dir, or to a local folder where that is unset (tests)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir() and not context.getConf().get("spark.checkpoint.dir"):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a local folder stands in if all tasks run in this machine's one process, else it is an error."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tomelake-')}")
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
