@@ -2,17 +2,20 @@
 
 import hashlib
 import io
+import json
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tomelake.llm import chat_format, exact_dedup, fingerprints, near_dedup, packing, quality, range_coder, source_mix, token_files, tokens, toxicity, url_filter
+from tomelake.llm import shingles as shingles_module
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket int, component string, may_repeat string"
 RNG = random.Random(7)
@@ -72,10 +75,10 @@ def test_bloom_filter_lets_no_repeated_row_pass(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([(str(rng.randint(0, 3000)),) for _ in range(4000)], "k string")
     bits = 1 << 14
-    marked = exact_dedup.may_repeat(df, "k", exact_dedup.repeated_cells(df, "k", bits, 2), bits, 2).collect()
+    marked = exact_dedup.may_hit(df, "k", exact_dedup.repeated_cells(df, "k", bits, 2), bits, 2).collect()
     count = Counter(r["k"] for r in marked)
-    assert all(r["may_repeat"] for r in marked if count[r["k"]] > 1)
-    assert sum(not r["may_repeat"] for r in marked) > 100
+    assert all(r["_may"] for r in marked if count[r["k"]] > 1)
+    assert sum(not r["_may"] for r in marked) > 100
 
 
 def shingles(t):
@@ -217,14 +220,31 @@ def test_damage_is_found():
         list(token_files.read_documents(io.BytesIO(data[:-5])))
 
 
-def test_chunks_encode_like_whole_texts():
+def test_runs_encode_like_whole_texts(monkeypatch):
     rng = random.Random(1)
-    alphabet = ["a", "É", ".", ",", " ", "\t", "\u00a0", "\u0301", "'s", "<|endoftext|>", "<|ENDOFTEXT|>", "1", "漢", "\x1c", "é.", "×.", "\x85"]
-    samples = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    own = tokens.ChunkEncoder(tokens.default_path())
+    alphabet = ["a", "É", ".", ",", " ", "\t", "\u00a0", "\u0301", "'s", "'", "<|endoftext|>", "<|ENDOFTEXT|>", "1", "漢", "\x1c", "é.", "×.", "\x85", "ª", "µ", "-", "“", "<", "\u0338", "ß", "İ", "ll", "B", "Ω", "\u2028"]
+    samples = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + ["", "x" * 5000, "don't stop, I'll 've 'RE'save.'s"]
+    monkeypatch.setattr(tokens, "MOST_RUNS", 500)
+    monkeypatch.setattr(shingles_module, "SLICE_BYTES", 400)
+    own = tokens.encoder(tokens.default_path())
     whole = own.tokenizer.encode_batch(samples, add_special_tokens=False)
-    for text, a, b in zip(samples, own.encode([s.encode() for s in samples]), whole, strict=True):
-        assert np.frombuffer(a, "<u4").tolist() == b.ids, text
+    for _ in range(2):
+        found = [ids for _, coded in tokens.encoded(tokens.default_path(), pa.array(samples)) for ids in coded]
+        assert len(found) == len(samples)
+        for text, a, b in zip(samples, found, whole, strict=True):
+            assert np.frombuffer(a, "<u4").tolist() == b.ids, text
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    settings = json.load(open(tokens.default_path(), encoding="utf-8"))
+    settings["normalizer"]["normalizers"] = settings["normalizer"]["normalizers"][:2]
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(settings))
+    texts_ = ["Some Text", "ABC abc.", ""]
+    found = [ids for _, coded in tokens.encoded(str(path), pa.array(texts_)) for ids in coded]
+    whole = Tokenizer.from_file(str(path)).encode_batch(texts_, add_special_tokens=False)
+    assert not tokens.encoder(str(path)).by_runs
+    assert [np.frombuffer(a, "<u4").tolist() for a in found] == [b.ids for b in whole]
 
 
 def test_source_mix(docs, none):

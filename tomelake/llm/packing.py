@@ -170,13 +170,12 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = tokens.encoder(path).encode
         packer = _Packer(TaskContext.get().partitionId() << 32, length)
         end = tokens.END_ID.to_bytes(4, "little")
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for first, texts in tokens.in_slices(batch.column("text")):
-                for doc, found in zip(ids[first:], encode(texts), strict=False):
+            for first, coded in tokens.encoded(path, batch.column("text")):
+                for doc, found in zip(ids[first:], coded, strict=False):
                     packer.add(doc, found + end)
                 if len(packer.rows) > 2000:
                     yield packer.take()

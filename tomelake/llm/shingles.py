@@ -58,6 +58,18 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         first = end
 
 
+def run_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the runs raw[first[i] : last[i] + 1], A-Z as a-z."""
+    power, inverse = _power(len(raw))
+    sums = _BYTE[raw]
+    sums *= power
+    np.cumsum(sums, out=sums)
+    h = sums[last]
+    h[first > 0] -= sums[first[first > 0] - 1]
+    h *= inverse[first]
+    return mixed(h)
+
+
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the texts raw[at[i]:at[i + 1]]: hash of each word, number of words of each text, and first and last byte of each word."""
     n = len(raw)
@@ -71,15 +83,9 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     begins[1:] &= ~solid[:-1] | edge[1:n]
     ends[:-1] &= ~solid[1:] | edge[1:n]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-    power, inverse = _power(n)
-    sums = _BYTE[raw]
-    sums *= power
-    np.cumsum(sums, out=sums)
-    h = sums[last]
-    h[first > 0] -= sums[first[first > 0] - 1]
-    h *= inverse[first]
+    h = run_hashes(raw, first, last)
     counts = np.diff(np.searchsorted(first, at))
-    return mixed(h), counts, first, last
+    return h, counts, first, last
 
 
 def shingle_hashes(word_hashes: np.ndarray, counts: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:

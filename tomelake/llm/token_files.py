@@ -147,13 +147,12 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str | None = None) ->
         inside = lambda uri: _opened(uri)[1]
         system.create_dir(inside(folder), recursive=True)
         hidden = f"{folder}/.{number:06d}-{task.taskAttemptId()}"
-        encode = tokens.encoder(path).encode
         with system.open_output_stream(inside(hidden)) as out:
             writer = FileWriter(out)
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
-                for first, texts in tokens.in_slices(batch.column("text")):
-                    for doc, found in zip(ids[first:], encode(texts), strict=False):
+                for first, coded in tokens.encoded(path, batch.column("text")):
+                    for doc, found in zip(ids[first:], coded, strict=False):
                         writer.add(doc, found + end)
             writer.finish()
         system.move(inside(hidden), inside(final))
