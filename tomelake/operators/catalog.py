@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tomelake.functions import decisions as D
 from tomelake.functions import isbn as I
+from tomelake.functions import records as R
 
 MISS = '{"__cache_miss":true}'
 
@@ -145,3 +147,88 @@ def violations(rows: DataFrame, key: list[str], checks: dict[str, Column]) -> Da
     broken = F.array_compact(F.array(*[F.when(~c, F.lit(name)) for name, c in checks.items()]))
     named = rows.select(*key, F.explode(broken).alias("constraint"))
     return named.unionByName(rows.groupBy(*key).count().filter("count > 1").select(*key, F.lit("unique").alias("constraint")))
+
+
+def book_by_id(catalog: DataFrame, book_id) -> DataFrame:
+    return catalog.filter(F.col("id") == F.lit(book_id))
+
+
+def touched(table: DataFrame, changes: DataFrame, key: list[str], now: Column) -> DataFrame:
+    """table after changes (key and some of its columns, one row a key) that set updated_at to now."""
+    names = [c for c in changes.columns if c not in key]
+    own = changes.select(*key, F.struct(*names).alias("_new"))
+    new = F.col("_new")
+    joined = table.join(own, key, "left")
+    of = {n: F.when(new.isNotNull(), new[n]).otherwise(F.col(n)) for n in names} | {"updated_at": F.when(new.isNotNull(), now).otherwise(F.col("updated_at"))}
+    return joined.select(*[of[c].alias(c) if c in of else F.col(c) for c in table.columns])
+
+
+def resolver_attempts(candidates: DataFrame) -> DataFrame:
+    """One audit row a candidate. Of the answer: answer, book, confidence, ambiguous, matched, match_score, canonical; of the candidate itself: resolved, resolved_confidence, debug_title, debug_score."""
+    col = F.col
+    top = R.top_match(col("answer"), col("book"), col("confidence"), col("ambiguous"), col("matched"), col("match_score"), col("canonical"))
+    rows = candidates.withColumn("_top", top).withColumn("_book", F.coalesce("_top.book", "resolved")).withColumn("_d", R.attempt_decision(col("decision"), col("reason"), col("hypotheses")))
+    own = F.when(col("resolved").isNotNull(), col("resolved_confidence")).when(col("debug_title").isNotNull(), col("debug_score"))
+    named = F.when(col("resolved").isNull(), col("debug_title"))
+    return rows.select(
+        "session_id",
+        "candidate_id",
+        "hypotheses",
+        F.when(col("_book").isNotNull(), D.resolver_key(col("_book.source"), col("_book.source_id"), F.lit(None).cast("string"), F.lit(None).cast("string"))).alias("resolver_key"),
+        F.coalesce("_book.title", named).alias("title"),
+        F.coalesce("_top.score", own).alias("score"),
+        "_d.decision",
+        "_d.reason",
+    )
+
+
+def correction_rows(corrections: DataFrame) -> DataFrame:
+    """corrections(key, content_hash, title, author) as rows to append; those without any key are left out."""
+    rows = corrections.withColumn("_k", R.correction_keys(F.col("key"), F.col("content_hash")))
+    return rows.select("_k.resolver_key", "_k.evidence_hash", "title", F.when(_filled("author").isNotNull(), F.array("author")).alias("authors")).filter(_filled("resolver_key").isNotNull() | _filled("evidence_hash").isNotNull())
+
+
+def export_corrections(corrections: DataFrame) -> DataFrame:
+    """One JSON object {key: correction} a row, so that rows can be written side by side and read again one by one."""
+    rest = [c for c in corrections.columns if c != "key"]
+    return corrections.select(F.to_json(F.create_map("key", F.struct(*rest))).alias("json"))
+
+
+def import_corrections(exported: DataFrame, schema: str) -> DataFrame:
+    """Rows (key, ...) of JSON objects {key: correction}, whatever number of keys an object has; damaged ones give no row."""
+    return exported.select(F.explode(F.from_json("json", f"map<string, struct<{', '.join(p.strip().replace(' ', ':', 1) for p in schema.split(','))}>>"))).select("key", "value.*")
+
+
+def collected_books(candidates: DataFrame, crops: DataFrame) -> DataFrame:
+    """Matched candidates of sessions with a cover: candidates(session_id, candidate_id, decision, cover_url, first_crop), crops(session_id, det_idx, crop_uri)."""
+    own = candidates.filter(F.col("decision").isin("accept", "suggested"))
+    first = crops.groupBy("session_id", F.col("det_idx").alias("first_crop")).agg(F.min("crop_uri").alias("crop_uri"))
+    joined = own.join(first, ["session_id", "first_crop"], "left")
+    return joined.select("session_id", "candidate_id", "decision", R.cover_uri(F.col("cover_url"), F.col("crop_uri")).alias("cover_uri"))
+
+
+def enriched(candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """candidates with what a batch lookup found under their olid; the others stay as they are."""
+    own = found.select("olid", F.struct(*[c for c in found.columns if c != "olid"]).alias("_found"))
+    joined = candidates.withColumn("_candidate", F.struct(*candidates.columns)).join(own, "olid", "left")
+    return joined.select(R.enriched_book(F.col("_found"), F.col("_candidate")).alias("b")).select("b.*")
+
+
+def triage(rejects: DataFrame, by: str) -> DataFrame:
+    """rejects(by, s: triage_signals) -> counts, the six commonest reasons and a recommendation for each export."""
+    count = lambda n: F.count_if(F.col(f"s.{n}")).alias(n)
+    totals = rejects.groupBy(by).agg(F.count(F.lit(1)).alias("rejects"), *[count(n) for n in ("fixable", "unreadable", "weak_text", "no_hypotheses", "low_confidence")])
+    reasons = rejects.groupBy(by, F.col("s.reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy(by).orderBy(F.desc("n"), "reason")
+    six = reasons.withColumn("_r", F.row_number().over(order)).filter("_r <= 6").groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_r", F.concat_ws(":", "reason", F.col("n").cast("string")).alias("t")))).alias("_l"))
+    six = six.select(by, F.array_join(F.transform("_l", lambda x: x["t"]), "|").alias("top_reasons"))
+    return totals.join(six, by).withColumn("recommendation", R.recommendation(F.col("rejects"), F.col("fixable"), F.col("unreadable")))
+
+
+def merged_splits(datasets: dict[str, DataFrame]) -> DataFrame:
+    """datasets(name, split, labels) laid together: images and labels of each split by where they come from."""
+    rows = None
+    for name, df in datasets.items():
+        own = df.withColumn("dataset", F.lit(name))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy("split", "dataset").agg(F.count(F.lit(1)).alias("images"), F.sum("labels").alias("labels"))

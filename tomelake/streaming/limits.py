@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,3 +97,39 @@ def windowed_counts(events: DataFrame, time: str = "ts", late: str = "10 minutes
 def deduplicated_stream(events: DataFrame, key: list[str], time: str = "ts", within: str = "30 minutes") -> DataFrame:
     """Each key once within the time that state is kept."""
     return events.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", within).dropDuplicatesWithinWatermark(key).drop("_at")
+
+
+#: How long a session keeps an answer, and how many sessions wait for a network.
+SESSION_CACHE_MS = 30 * 60 * 1000
+OFFLINE_QUEUE = 50
+
+
+def session_cache(requests: DataFrame, by: list[str], ms: str, order: str, ttl_ms: int = SESSION_CACHE_MS) -> DataFrame:
+    """(order, hit): whether an answer fetched at most ttl_ms ago is at hand; a miss fetches and keeps it. Rows of a key stream through in order, so a key may have any number of rows."""
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.to_json(F.array(*[F.col(c).cast("string") for c in by]))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, put = None, 0
+        for batch in batches:
+            hits = []
+            for k, t in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                hit = k == now and t - put <= ttl_ms
+                if not hit:
+                    now, put = k, t
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([batch.column("o"), pa.array(hits, pa.bool_())], [order, "hit"])
+
+    rows = requests.select(key.alias("k"), F.col(ms).alias("t"), F.col(order).cast("long").alias("o"))
+    return rows.repartition(n, "k").sortWithinPartitions("k", "t", "o").mapInArrow(look, f"{order} long, hit boolean")
+
+
+def requeue(items: DataFrame, by: str, seq: str, timestamp: str, most: int = OFFLINE_QUEUE) -> DataFrame:
+    """A queue of sessions after all items: an item that comes again replaces the one before and counts a retry; the newest `most` stay."""
+    last = items.groupBy(by).agg(F.max_by(timestamp, seq).alias(timestamp), (F.count(F.lit(1)) - 1).alias("retries"))
+    return last.orderBy(F.desc(timestamp), by).limit(most)
+
+
+def process_all(queue: DataFrame) -> DataFrame:
+    """What stays of a queue(..., retries, success) after a run over all of it: what failed, one more retry counted."""
+    return queue.filter(~F.coalesce(F.col("success"), F.lit(False))).withColumn("retries", F.col("retries") + 1).drop("success")
