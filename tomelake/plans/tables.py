@@ -72,3 +72,23 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def millis(events: DataFrame) -> DataFrame:
     """events with ms since the epoch."""
     return events.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+
+
+def spine_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of spines made of the parts of orders: session_id, line_idx, line; a session has each line number once."""
+    part = read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("w"), F.initcap("p_name").alias("cap"), F.upper("p_name").alias("up"))
+    items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p_partkey"))
+    one, two = F.initcap(F.col("w")[0]), F.initcap(F.element_at("w", -1))
+    k = F.col("p_partkey") % 9
+    line = (
+        F.when(k == 0, F.col("cap"))
+        .when(k == 1, F.col("up"))
+        .when(k == 2, F.concat(F.lit("by "), one, F.lit(" "), two))
+        .when(k == 3, F.concat(F.lit("The "), one, F.lit(" - "), two, F.lit(" "), one))
+        .when(k == 4, F.concat("cap", F.lit(": How "), two, F.lit(" Was Made")))
+        .when(k == 5, F.upper(two))
+        .when(k == 6, F.concat(one, F.lit(" M. "), two))
+        .when(k == 7, F.concat("cap", F.lit(" by "), two, F.lit(" "), one))
+        .otherwise(F.concat(one, F.lit(" "), two, F.lit(" and "), two, F.lit(" "), one))
+    )
+    return items.join(part, "p_partkey").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("line_idx"), line.alias("line"))
