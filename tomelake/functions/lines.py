@@ -40,22 +40,25 @@ PRICES = [
 ]
 
 
+_PRICE = "|".join(f"(?:{p})" for p in PRICES)
+
+
 def is_price_like(c: Column) -> Column:
-    c = T.strip(c)
-    out = c.rlike(PRICES[0])
-    for p in PRICES[1:]:
-        out = out | c.rlike(p)
-    return out
+    return T.strip(c).rlike(_PRICE)
 
 
-def is_fragment(c: Column) -> Column:
-    c = T.strip(c)
-    t, alpha = T.match_tokens(c), T.alpha_ratio(c)
+def is_fragment_of(c: Column, t: Column, alpha: Column) -> Column:
+    """c: a line without blanks at its ends, t: its tokens, alpha: its share of letters."""
     only = F.length(F.coalesce(F.get(t, F.lit(0)), F.lit("")))
     one = F.size(t) == 1
     return (F.length(c) <= 2) | (one & (only <= 2)) | ((alpha < 0.5) & (F.length(c) < 8)) | (one & (only <= 4) & (alpha < 0.8))
 
 
+def is_fragment(c: Column) -> Column:
+    c = T.strip(c)
+    return is_fragment_of(c, T.match_tokens(c), T.alpha_ratio(c))
+
+
 def org_count(c: Column) -> Column:
     return F.size(F.filter(T.match_tokens(c), lambda t: t.isin(*ORG_MARKERS)))
 

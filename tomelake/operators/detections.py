@@ -51,22 +51,34 @@ def filter_stats(filtered: DataFrame) -> DataFrame:
     )
 
 
-def _cells(box: G.Box, cell: Column) -> Column:
-    left, right, top, bottom = G.bounds(box)
-    at = lambda v: F.floor(v / cell)
-    xs, ys = F.sequence(at(left), at(right)), F.sequence(at(top), at(bottom))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
+#: Boxes of a session up to which each meets each; beyond, boxes meet in the cells of a grid.
+FEW_BOXES, LEAST_CELL = 64, 128.0
 
 
-def overlapping_pairs(detections: DataFrame, cell: float = 128.0) -> DataFrame:
-    """Pairs a < b of one session whose axis-parallel boxes meet, with iou: columns a_* and b_*. Each pair comes from the first cell that both touch."""
+def overlapping_pairs(detections: DataFrame) -> DataFrame:
+    """Pairs a < b of one session whose axis-parallel boxes meet, with iou: columns a_* and b_*.
+
+    Small sessions are joined as they are. The boxes of a larger one go to the cells of a grid that fits its boxes, and a
+    pair counts in the cell that holds the upper left corner of what the two share, so each comes once.
+    """
     names = [c for c in detections.columns if c != "session_id"]
-    rows = detections.withColumn("_cells", _cells(G.Box.of(), F.lit(cell))).withColumn("_cell", F.explode("_cells"))
-    a = rows.select("session_id", "_cell", F.col("_cells").alias("_a"), *[F.col(c).alias(f"a_{c}") for c in names])
-    b = rows.select("session_id", "_cell", F.col("_cells").alias("_b"), *[F.col(c).alias(f"b_{c}") for c in names])
-    pairs = a.join(b, ["session_id", "_cell"]).filter(F.col("a_det_idx") < F.col("b_det_idx"))
-    pairs = pairs.filter(F.col("_cell") == F.array_min(F.array_intersect("_a", "_b")))
-    return pairs.withColumn("iou", G.bounds_iou(G.Box.of("a_"), G.Box.of("b_"))).filter("iou > 0").drop("_cell", "_a", "_b")
+    left, right, top, bottom = G.bounds(G.Box.of())
+    rows = detections.withColumns({"_l": left, "_r": right, "_t": top, "_b": bottom})
+    sizes = rows.groupBy("session_id").agg((F.count(F.lit(1)) > FEW_BOXES).alias("_many"), F.greatest(F.lit(LEAST_CELL), 2 * F.avg(F.greatest(F.col("_r") - F.col("_l"), F.col("_b") - F.col("_t")))).alias("_cell"))
+    rows = rows.join(sizes, "session_id")
+    at = lambda v: F.floor(v / F.col("_cell"))
+    grid = lambda low, high: F.when(F.col("_many"), F.sequence(at(F.col(low)), at(F.col(high)))).otherwise(F.array(F.lit(0).cast("long")))
+    rows = rows.withColumn("_x", F.explode(grid("_l", "_r"))).withColumn("_y", F.explode(grid("_t", "_b")))
+    side = lambda p, more: rows.select("session_id", "_x", "_y", *more, *[F.col(c).alias(f"{p}{c}") for c in ["_l", "_r", "_t", "_b", *names]])
+    pairs = side("a_", ["_many", "_cell"]).join(side("b_", []), ["session_id", "_x", "_y"]).filter(F.col("a_det_idx") < F.col("b_det_idx"))
+    x, y = F.greatest("a__l", "b__l"), F.greatest("a__t", "b__t")
+    pairs = pairs.withColumn("_w", F.least("a__r", "b__r") - x).withColumn("_h", F.least("a__b", "b__b") - y).filter((F.col("_w") > 0) & (F.col("_h") > 0))
+    pairs = pairs.filter(~F.col("_many") | ((at(x) == F.col("_x")) & (at(y) == F.col("_y"))))
+    area = lambda p: (F.col(f"{p}_r") - F.col(f"{p}_l")) * (F.col(f"{p}_b") - F.col(f"{p}_t"))
+    shared = F.col("_w") * F.col("_h")
+    union = area("a_") + area("b_") - shared
+    pairs = pairs.withColumn("iou", F.when(union > 0, shared / union).otherwise(0.0)).filter("iou > 0")
+    return pairs.select("session_id", *[f"{p}{c}" for p in ("a_", "b_") for c in names], "iou")
 
 
 #: What makes two detections one book.
