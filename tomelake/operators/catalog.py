@@ -25,27 +25,29 @@ def upsert_books(catalog: DataFrame, incoming: DataFrame, seq: str = "seq") -> D
     """
     key = ["provider", "provider_id"]
     others = [c for c in catalog.columns if c not in (*key, "id", "title", "authors")]
-    at = [F.struct(seq, F.col(c).alias("value")) for c in ("title", "authors")]
+    # Title and authors come from one row: of equal seq the one with the greatest title and authors.
     folded = incoming.groupBy(*key).agg(
-        F.max(at[0]).alias("_title"),
-        F.max_by("authors", seq).alias("_authors"),
+        F.max(F.struct(seq, "title", "authors")).alias("_last"),
         *[F.max_by(c, F.when((_filled(c) if t == "string" else F.col(c)).isNotNull(), F.col(seq))).alias(f"_{c}") for c, t in catalog.dtypes if c in others],
     )
     joined = catalog.join(folded, key, "full_outer")
     return joined.select(
         F.coalesce("id", F.sha2(F.concat_ws("|", *key), 256)).alias("id"),
         *key,
-        F.coalesce("_title.value", "title").alias("title"),
-        F.coalesce("_authors", "authors").alias("authors"),
+        F.coalesce("_last.title", "title").alias("title"),
+        F.coalesce("_last.authors", "authors").alias("authors"),
         *[F.coalesce(f"_{c}", c).alias(c) for c in others],
     )
 
 
 def last_writer_wins(table: DataFrame, incoming: DataFrame, key: list[str], seq: str) -> DataFrame:
     """table after upserts that overwrite whole rows, nulls too; the greatest seq of a key wins."""
-    last = W.partitionBy(*key).orderBy(F.desc(seq))
-    fresh = incoming.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select(*table.columns)
-    return table.join(fresh.select(*key), key, "left_anti").select(*table.columns).unionByName(fresh)
+    rest = [c for c in table.columns if c not in key]
+    fresh = incoming.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(seq, *rest)).alias("_row")).select(*key, "_row.*").select(*table.columns)
+    old, new = table.alias("old"), fresh.select(*[F.col(k).alias(f"_{k}") for k in key])
+    same = [F.col(f"old.{k}").eqNullSafe(F.col(f"_{k}")) for k in key]
+    kept = old.join(new, same, "left_anti").select(*table.columns)
+    return kept.unionByName(fresh)
 
 
 def live(cache: DataFrame, now: Column, expires: str = "expires_at") -> DataFrame:

@@ -277,8 +277,10 @@ def sweep(predictions: DataFrame, truth: DataFrame, thresholds: list[float]) ->
     """Precision, recall and f1 (four places) for each score threshold, best f1 first, ties by the lower threshold."""
     grid = predictions.select("*", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")).filter(F.col("score") >= F.col("threshold"))
     wanted = truth.select("*", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
-    key = lambda df: df.withColumn("session_id", F.struct("threshold", "session_id").cast("string")).withColumn("_t", F.col("threshold"))
-    counts = match_predictions(key(grid), key(wanted)).withColumn("threshold", F.regexp_extract("session_id", r"^\{([0-9.]+)", 1).cast("double"))
+    # A session at a threshold is a session of its own, numbered by the place of the threshold.
+    places = F.array(*[F.lit(float(t)) for t in thresholds])
+    key = lambda df: df.withColumn("session_id", F.concat_ws("|", F.array_position(places, F.col("threshold").cast("double")).cast("string"), F.col("session_id").cast("string")))
+    counts = match_predictions(key(grid), key(wanted)).withColumn("threshold", F.element_at(places, F.split_part("session_id", F.lit("|"), F.lit(1)).cast("int")))
     total = counts.groupBy("threshold").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))

@@ -11,16 +11,23 @@ def floor_percentile(sorted_values: Column, p: float) -> Column:
     return F.get(sorted_values, F.floor(F.lit(p) / 100 * (F.size(sorted_values) - 1)).cast("int"))
 
 
-def exact_percentiles(rows: DataFrame, value: str, ps: list[float], by: list[str]) -> DataFrame:
+def exact_percentiles(rows: DataFrame, value: str, ps: list[float], by: list[str], cut=lambda df: df.checkpoint()) -> DataFrame:
     """Floor-index percentiles per group from counts of distinct values, so that no group of rows is collected in one place.
 
-    Running counts are taken over distinct values; the value at an index is the first whose running count exceeds it.
+    Distinct values are dealt to ranges of (group, value). The sizes of a group's ranges tell what comes before each, and a
+    running count inside a range does the rest, so no group is sorted by one task. The value at an index is the first whose
+    running count exceeds it. `cut` keeps the ranges as they were dealt; the default is a reliable checkpoint.
     """
     from pyspark.sql import Window as W
 
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    at = W.partitionBy(*by).orderBy(value)
-    counts = counts.withColumn("_upto", F.sum("_n").over(at)).withColumn("_all", F.sum("_n").over(W.partitionBy(*by)))
+    counts = cut(counts.repartitionByRange(n, *by, value).withColumn("_range", F.spark_partition_id()))
+    sizes = counts.groupBy(*by, "_range").agg(F.sum("_n").alias("_size"))
+    group = W.partitionBy(*by)
+    sizes = sizes.withColumn("_before", F.sum("_size").over(group.orderBy("_range")) - F.col("_size")).withColumn("_all", F.sum("_size").over(group))
+    inside = F.sum("_n").over(W.partitionBy(*by, "_range").orderBy(value))
+    counts = counts.withColumn("_inside", inside).join(sizes, [*by, "_range"]).withColumn("_upto", F.col("_before") + F.col("_inside"))
     pick = lambda p: F.min(F.when(F.col("_upto") > F.floor(F.lit(p) / 100 * (F.col("_all") - 1)), F.col(value)))
     return counts.groupBy(*by).agg(*[pick(p).alias(f"p{p:g}") for p in ps])
 

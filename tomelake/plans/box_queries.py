@@ -108,8 +108,9 @@ QUERIES["postprocess"] = _postprocess
 
 
 def _truth(spark, d):
-    """Every other box is taken for the truth."""
-    return _canonical(spark, d).filter(F.col("det_idx") % 2 == 1).select("session_id", "det_idx", *X.BOX)
+    """All boxes are taken for the truth, every other one at a place where nothing was detected."""
+    far = F.when(F.col("det_idx") % 2 == 1, F.col("cx")).otherwise(F.col("cx") + 100_000)
+    return _canonical(spark, d).withColumn("cx", far).select("session_id", "det_idx", *X.BOX)
 
 
 QUERIES["match_predictions"] = lambda spark, d: X.match_predictions(_canonical(spark, d), _truth(spark, d))
@@ -131,7 +132,7 @@ ORACLES["label_boxes"] = f"SELECT l_orderkey::VARCHAR AS file, l_linenumber AS l
 QUERIES["tensor_stats"] = lambda spark, d: ST.tensor_stats(B.read(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"]).select("l_returnflag", "n", "min", "max", F.round("mean", 4).alias("mean"), F.round("std", 3).alias("std"), "n_nan", "n_inf")
 ORACLES["tensor_stats"] = "SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedprice), 3) AS std, 0 AS n_nan, 0 AS n_inf FROM lineitem GROUP BY 1"
 _PS = [1, 5, 25, 50, 75, 95, 99]
-QUERIES["floor_percentiles"] = lambda spark, d: ST.exact_percentiles(B.read(spark, d, "events"), "value", _PS, ["event_type"])
+QUERIES["floor_percentiles"] = lambda spark, d: ST.exact_percentiles(B.read(spark, d, "events"), "value", _PS, ["event_type"], cut=_checkpoint)
 ORACLES["floor_percentiles"] = f"SELECT event_type, {', '.join(f'list_sort(list(value))[floor({p}::DOUBLE / 100 * (count(*) - 1))::INT + 1] AS p{p}' for p in _PS)} FROM events GROUP BY event_type"
 _TS = [0.01, 0.03, 0.05, 0.07, 0.09]
 QUERIES["threshold_counts"] = lambda spark, d: ST.threshold_counts(B.read(spark, d, "lineitem"), "l_discount", _TS, ["l_linestatus"])

@@ -126,9 +126,10 @@ _query("best_author_match", lambda spark, d: B.catalog(spark, d).withColumn("m",
 
 
 def _existing(spark, d):
-    o = B.read(spark, d, "orders")
-    return o.filter("o_orderkey % 3 <> 0").select(
-        F.col("o_orderkey").cast("string").alias("id"), F.lit("openLibrary").alias("provider"), F.col("o_orderkey").cast("string").alias("provider_id"), F.col("o_orderpriority").alias("title"), F.array("o_orderstatus").alias("authors"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("old")).alias("publisher")
+    """All orders; every third one under a key that no incoming row has."""
+    o, key = B.read(spark, d, "orders"), F.col("o_orderkey").cast("string")
+    return o.select(
+        key.alias("id"), F.lit("openLibrary").alias("provider"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("x"), key)).otherwise(key).alias("provider_id"), F.col("o_orderpriority").alias("title"), F.array("o_orderstatus").alias("authors"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("old")).alias("publisher")
     )
 
 
@@ -143,14 +144,14 @@ _query(
     "upsert_books",
     lambda spark, d: C.upsert_books(_existing(spark, d), _incoming(spark, d)).select("provider_id", "title", F.array_join("authors", ",").alias("authors"), "publisher"),
     """WITH l AS (SELECT l_orderkey AS k, arg_max('t' || l_partkey::VARCHAR, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000) AS title, arg_max(l_returnflag, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000) AS a, arg_max(l_linestatus, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000) FILTER (l_linenumber % 2 = 0) AS p FROM lineitem GROUP BY 1),
-e AS (SELECT o_orderkey AS k, o_orderpriority AS title, o_orderstatus AS a, CASE WHEN o_orderkey % 2 = 0 THEN 'old' END AS p FROM orders WHERE o_orderkey % 3 <> 0)
-SELECT coalesce(l.k, e.k)::VARCHAR AS provider_id, coalesce(l.title, e.title) AS title, coalesce(l.a, e.a) AS authors, coalesce(l.p, e.p) AS publisher FROM l FULL JOIN e ON l.k = e.k""",
+e AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'x' || o_orderkey ELSE o_orderkey::VARCHAR END AS k, o_orderpriority AS title, o_orderstatus AS a, CASE WHEN o_orderkey % 2 = 0 THEN 'old' END AS p FROM orders)
+SELECT coalesce(l.k::VARCHAR, e.k) AS provider_id, coalesce(l.title, e.title) AS title, coalesce(l.a, e.a) AS authors, coalesce(l.p, e.p) AS publisher FROM l FULL JOIN e ON l.k::VARCHAR = e.k""",
 )
 _query(
     "last_writer_wins",
     lambda spark, d: C.last_writer_wins(_existing(spark, d).select("provider_id", "title"), _incoming(spark, d).select("provider_id", "title", "seq"), ["provider_id"], "seq"),
     """WITH l AS (SELECT l_orderkey AS k, arg_max('t' || l_partkey::VARCHAR, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000) AS title FROM lineitem GROUP BY 1)
-SELECT k::VARCHAR AS provider_id, title FROM l UNION ALL SELECT o_orderkey::VARCHAR, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey NOT IN (SELECT k FROM l)""",
+SELECT k::VARCHAR AS provider_id, title FROM l UNION ALL SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'x' || o_orderkey ELSE o_orderkey::VARCHAR END, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey NOT IN (SELECT k FROM l)""",
 )
 
 
@@ -181,8 +182,8 @@ _query("expired_cache", lambda spark, d: C.count_expired(_cache(spark, d), _at()
 _query("live_cache", lambda spark, d: C.live(_cache(spark, d), _at()).select("query_hash"), f"WITH {_EC} SELECT user_id::VARCHAR AS query_hash FROM e WHERE x > {_NOW}")
 _query("cache_entries", lambda spark, d: C.cache_entries(B.read(spark, d, "events").select("event_id", F.when(F.col("value") > 10, F.col("props")).alias("response_json")), _at()).select("event_id", "response_json", F.date_format("expires_at", "yyyy-MM-dd").alias("expires")),
        f"SELECT event_id, CASE WHEN value > 10 THEN props ELSE '{C.MISS}' END AS response_json, '2024-01-22' AS expires FROM events")
-_query("isbn_lookup", lambda spark, d: C.lookup_by_isbn(B.isbns(spark, d).select(F.col("id").alias("request_id"), F.col("isbn10").alias("isbn")), B.isbns(spark, d).filter("id % 2 = 0")).select("request_id", "id"),
-       f"WITH {S.ISBNS} SELECT r.id AS request_id, c.id FROM isbns r LEFT JOIN (SELECT upper(isbn10) AS n, min(id) AS id FROM isbns WHERE id % 2 = 0 GROUP BY 1) c ON upper(r.isbn10) = n")
+_query("isbn_lookup", lambda spark, d: C.lookup_by_isbn(B.isbns(spark, d).select(F.col("id").alias("request_id"), F.col("isbn10").alias("isbn")), B.isbns(spark, d).withColumn("isbn10", F.when(F.col("id") % 2 == 0, F.col("isbn10"))).withColumn("isbn13", F.when(F.col("id") % 2 == 0, F.col("isbn13")))).select("request_id", "id"),
+       f"WITH {S.ISBNS} SELECT r.id AS request_id, c.id FROM isbns r LEFT JOIN (SELECT upper(isbn10) AS n, min(id) AS id FROM (SELECT id, CASE WHEN id % 2 = 0 THEN isbn10 END AS isbn10 FROM isbns) GROUP BY 1) c ON upper(r.isbn10) = n")
 
 
 def _resolved(spark, d):
@@ -213,7 +214,9 @@ SELECT session_id, title, row_number() OVER (PARTITION BY session_id ORDER BY s,
 
 def _corrections(spark, d):
     c = B.read(spark, d, "customer")
-    return c.filter("c_custkey % 3 = 0").select(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("isbn:"), F.col("c_custkey").cast("string"))).otherwise(F.concat(F.lit("hash:"), F.col("c_name"))).alias("key"), F.col("c_mktsegment").alias("corrected_title"), (F.col("c_custkey") % 9).alias("apply_count"))
+    key = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("isbn:"), F.col("c_custkey").cast("string"))).otherwise(F.concat(F.lit("hash:"), F.col("c_name")))
+    # Two of three customers' corrections are kept under a key that no candidate has.
+    return c.select(F.when(F.col("c_custkey") % 3 == 0, key).otherwise(F.concat(key, F.lit(":x"))).alias("key"), F.col("c_mktsegment").alias("corrected_title"), (F.col("c_custkey") % 9).alias("apply_count"))
 
 
 def _corrected(spark, d):
@@ -224,11 +227,11 @@ def _corrected(spark, d):
 
 _query("corrections", _corrected,
        """WITH c AS (SELECT c_custkey AS candidate_id, CASE WHEN c_custkey % 4 <> 0 THEN 'isbn:' || c_custkey::VARCHAR END AS ik, 'hash:' || c_name AS hk, c_name FROM customer),
-k AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'isbn:' || c_custkey::VARCHAR ELSE 'hash:' || c_name END AS key, c_mktsegment AS t FROM customer WHERE c_custkey % 3 = 0),
+k AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'isbn:' || c_custkey::VARCHAR ELSE 'hash:' || c_name END || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ':x' END AS key, c_mktsegment AS t FROM customer),
 j AS (SELECT c.*, coalesce(a.t, b.t) AS corrected_title FROM c LEFT JOIN k a ON a.key = ik LEFT JOIN k b ON b.key = hk)
 SELECT candidate_id, coalesce(ik, hk) AS correction_key, corrected_title, CASE WHEN candidate_id % 2 = 0 THEN coalesce(corrected_title || '|', '') || c_name END AS hints FROM j""")
 _query("correction_stats", lambda spark, d: C.correction_stats(_corrections(spark, d)),
-       """WITH k AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'isbn:' || c_custkey::VARCHAR ELSE 'hash:' || c_name END AS key, c_custkey % 9 AS n FROM customer WHERE c_custkey % 3 = 0)
+       """WITH k AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'isbn:' || c_custkey::VARCHAR ELSE 'hash:' || c_name END || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ':x' END AS key, c_custkey % 9 AS n FROM customer)
 SELECT count(*) AS total, sum(n)::BIGINT AS applied, first(key ORDER BY n DESC, key DESC) AS most_applied FROM k""")
 _query("newest_corrections", lambda spark, d: C.newest(B.read(spark, d, "orders").select("o_orderkey", "o_orderdate"), 500, ["o_orderdate", "o_orderkey"]).select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500")
 _query("missing_results", lambda spark, d: C.missing_results(B.read(spark, d, "documents").select("doc_id"), B.read(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "accept").otherwise("suggest").alias("decision"), F.lit("scored").alias("reason")), "doc_id"),
