@@ -155,6 +155,40 @@ def token_set_overlap(evidence: Column, candidates: Column, threshold: float = 0
     return F.aggregate(evidence, F.array().cast(kind), step)
 
 
+#: A token counts as matched from here; bonus of a matched ISBN, penalty of a generic title, and the cap of scores on fewer matches than needed.
+MATCHED, ISBN_BONUS, GENERIC_PENALTY, LEAST_MATCHES, WEAK_CAP = 0.75, 0.15, 0.15, 2, 0.10
+
+
+def author_signal(evidence: Column, hint: Column | None = None) -> Column:
+    """Whether a text speaks of an author: a token of the hint is in it, or two to four capitalised words follow each other."""
+    named = evidence.rlike(r"(?<![A-Za-z0-9_])[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}(?![A-Za-z0-9_])")
+    if hint is None:
+        return named
+    tokens = fuzzy_tokens(evidence)
+    hinted = F.exists(fuzzy_tokens(F.coalesce(hint, F.lit(""))), lambda h: F.exists(tokens, lambda e: levenshtein_similarity(h, e) >= MATCHED))
+    return hinted | named
+
+
+def token_set_score(evidence: Column, title: Column, authors: Column, isbn_match: Column | None = None, author_hint: Column | None = None) -> Column:
+    """struct(score, overlap, precision, recall, f1, signal, generic, weak) of a candidate against the evidence: F1 of matched tokens, plus the ISBN bonus, less the penalty of a
+    generic one-word title without a sign of an author, and capped where too few tokens match."""
+    looked = F.struct(F.array_distinct(fuzzy_tokens(evidence)).alias("e"), candidate_tokens(title, authors).alias("c"))
+    matched = F.transform(F.array(looked), lambda x: F.struct(x["e"].alias("e"), x["c"].alias("c"), F.size(token_set_overlap(x["e"], x["c"], MATCHED)).alias("n")))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    rates = F.transform(matched, lambda x: F.struct(x["n"].alias("n"), ratio(x["n"], F.size(x["e"])).alias("p"), ratio(x["n"], F.size(x["c"])).alias("r")))
+    whole = F.transform(rates, lambda x: F.struct(*[x[k].alias(k) for k in "npr"], F.when(x["p"] + x["r"] > 0, (2 * x["p"] * x["r"]) / (x["p"] + x["r"])).otherwise(F.lit(0.0)).alias("f"), author_signal(evidence, author_hint).alias("s")))
+    bonus = F.lit(0.0) if isbn_match is None else F.when(isbn_match, ISBN_BONUS).otherwise(0.0)
+
+    def score(x: Column) -> Column:
+        generic = is_generic_single_word_title(title) & ~x["s"] & (x["n"] < 3)
+        plain = x["f"] + bonus - F.when(generic, GENERIC_PENALTY).otherwise(0.0)
+        weak = (x["n"] < LEAST_MATCHES) & (plain > WEAK_CAP)
+        total = F.greatest(F.lit(0.0), F.when(weak, F.lit(WEAK_CAP)).otherwise(plain))
+        return F.struct(total.alias("score"), x["n"].alias("overlap"), x["p"].alias("precision"), x["r"].alias("recall"), x["f"].alias("f1"), x["s"].alias("signal"), generic.alias("generic"), weak.alias("weak"))
+
+    return F.get(F.transform(whole, score), F.lit(0))
+
+
 def normalize_for_match(c: Column) -> Column:
     """Upper case without accents; signs become blanks."""
     return strip(collapse(_sub(F.upper(fold(c)), r"[^A-Z0-9_\s]", " ")))
