@@ -3,42 +3,26 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomelake.sources.scratch import saved, shared_dir, ship
+
+__all__ = ["saved", "scratch", "shared_dir", "ship", "shuffle_partitions", "stored", "table", "text_of"]
+
 #: Characters that count as white space for word splitting and normalisation.
 SPACES = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def ship(spark: SparkSession) -> None:
-    """Python workers that share the driver's file system find this package where the driver did; elsewhere it is installed."""
-    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH")]))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tomelake-')}")
-        folder = context.getCheckpointDir()
-    return folder
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what lies there goes when the session's Python ends."""
     path = f"{shared_dir(spark)}/tomelake-scratch/{name}-{uuid.uuid4().hex}"
@@ -62,12 +46,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint, for small intermediate results."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
