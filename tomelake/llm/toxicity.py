@@ -2,7 +2,7 @@
 
 Training, from labelled rows outside the held-out part:
 1. Words of plain letters that occur in many toxic and few clean training texts are the lexicon. Copies must not make a
-   text's rare words look like that, so texts that share the least hash of their words count once.
+   text's rare words look like that, so texts that share the least hash of their other words count once.
 2. A character trigram model is counted over every text of the corpus, and interpolated with the lexicon's own trigrams.
 3. A logistic model weighs the lexicon's words.
 
@@ -15,7 +15,8 @@ decoding than the longest word; else its length is of no matter, as a run of one
 
 A text's score uses nothing but the text. Edge cases: null and empty texts get the score of a text without findings;
 without toxic training rows the lexicon is empty and scores are the base rate, 0 without any training row; repeated rows
-are scored each; labels that are null or without a document are ignored; extra columns are ignored by `score_texts` and
+are scored each; labels that are null or without a document are ignored, and of contradicting labels of one doc_id the toxic one
+counts; extra columns are ignored by `score_texts` and
 kept by `drop_toxic`.
 """
 
@@ -32,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, ship, table
-from .shingles import slices
+from .known import Known
+from .shingles import slices, words
 from .tokens import in_slices
 
 #: At most so many labelled rows are learnt from: those with the least hash of doc_id.
 TRAINING_ROWS = 40_000
-CANDIDATES = 500
+#: Chunks that a task remembers; beyond, it learns them anew.
+MOST_CHUNKS = 3_000_000
 #: A word of the lexicon occurs in so many toxic training texts at least, in this share of them, and in so many times fewer clean ones.
 LEAST_TEXTS, LEAST_SHARE, ODDS = 3, 0.002, 5
 THRESHOLD = 0.3
@@ -74,16 +77,18 @@ def plain_words(raw: bytes) -> set[str]:
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic, group): group is the least hash of the text's words."""
+    """(word, toxic, group): group is the least hash of the text's other words."""
     for batch in batches:
         marks = batch.column("toxic").to_pylist()
         for first, texts in in_slices(batch.column("text")):
             words, toxic, groups = [], [], []
             for mark, raw in zip(marks[first:], texts, strict=False):
-                own = plain_words(raw)
+                own = sorted(plain_words(raw))
                 words += own
                 toxic += [bool(mark)] * len(own)
-                groups += [min(map(_hash, own), default=0)] * len(own)
+                hashes = [_hash(w) for w in own]
+                least, second = (sorted(hashes)[:2] + [0, 0])[:2]
+                groups += [second if h == least else least for h in hashes]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.bool_()), pa.array(groups, pa.int64())], ["word", "toxic", "group"])
 
 
@@ -91,45 +96,69 @@ def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word) >> 1
 
 
-def _weights(texts: list[tuple[int, list[int]]], n_words: int) -> tuple[list[float], float]:
-    """Logistic regression with a small ridge, by Newton's method."""
-    x = np.zeros((len(texts), n_words + 1))
-    x[:, -1] = 1
-    for i, (_, found) in enumerate(texts):
-        x[i, found] = 1
-    y = np.array([t for t, _ in texts], dtype=float)
-    beta = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], 0.3)
+def _weights(rows: np.ndarray, words_: np.ndarray, toxic: np.ndarray, times: np.ndarray, n_words: int) -> tuple[list[float], float]:
+    """Logistic regression with a small ridge, by Newton's method; conjugate gradients solve each step, so the matrix of
+    words by words is never made. Text rows[k] holds word words_[k]; texts count `times` each."""
+    n = len(toxic)
+    ridge = np.full(n_words + 1, 0.3)
     ridge[-1] = 1e-3
+
+    def total(beta):
+        return np.bincount(rows, weights=beta[words_], minlength=n) + beta[-1]
+
+    def by_word(v):
+        return np.append(np.bincount(words_, weights=v[rows], minlength=n_words), v.sum())
+
+    beta = np.zeros(n_words + 1)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (y - p) - ridge * beta)
+        p = 1 / (1 + np.exp(-np.clip(total(beta), -30, 30)))
+        w = times * p * (1 - p)
+        left = by_word(times * (toxic - p)) - ridge * beta
+        step, side, size = np.zeros_like(beta), left.copy(), left @ left
+        least = 1e-20 * size
+        for _ in range(4 * len(beta)):
+            if size <= least:
+                break
+            turned = by_word(w * total(side)) + (ridge + 1e-9) * side
+            far = size / (side @ turned)
+            step += far * side
+            left = left - far * turned
+            before, size = size, left @ left
+            side = left + size / before * side
         beta += np.clip(step, -3, 3)
     return beta[:-1].tolist(), float(beta[-1])
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     """Word -> weight, and the bias. docs(doc_id, text), labels(doc_id, toxic)."""
-    rows = labels.select("doc_id", "toxic").filter("toxic is not null").filter(~held_out()).dropDuplicates(["doc_id"])
+    rows = labels.filter("toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = saved(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS))
     training = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
     rows = training.mapInArrow(_word_rows, "word string, toxic boolean, group long").distinct()
     counts = rows.groupBy("word").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean"))
     least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * sample.filter("toxic = 1").count()))
-    top = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= ODDS * F.col("clean"))).orderBy(F.desc("toxic"), "word").limit(CANDIDATES)
-    words = [r["word"] for r in top.collect()]
-    index = {w: i for i, w in enumerate(words)}
+    top = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= ODDS * F.col("clean"))).select("word")
+    words_ = sorted(r["word"] for r in top.collect())
+    index = {w: i for i, w in enumerate(words_)}
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(index[w] for w in plain_words(raw) & index.keys()) for _, texts in in_slices(batch.column("text")) for raw in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
 
-    texts = [(r["toxic"], r["found"]) for r in training.mapInArrow(incidence, "toxic int, found array<int>").collect()]
+    # Texts with the same words of the lexicon and the same label are one row with their number.
+    texts = training.mapInArrow(incidence, "toxic int, found array<int>").groupBy("toxic", "found").agg(F.count(F.lit(1)).alias("times")).orderBy("toxic", "found").collect()
     if not texts:
         return {}, -30.0
-    weights, bias = _weights(texts, len(words))
-    return dict(zip(words, weights, strict=True)), bias
+    sizes = [len(r["found"]) for r in texts]
+    weights, bias = _weights(
+        np.repeat(np.arange(len(texts)), sizes),
+        np.array([i for r in texts for i in r["found"]], dtype=np.int64),
+        np.array([r["toxic"] for r in texts], dtype=float),
+        np.array([r["times"] for r in texts], dtype=float),
+        len(words_),
+    )
+    return dict(zip(words_, weights, strict=True)), bias
 
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +292,8 @@ class Finder:
             for letter in s:
                 self.having.setdefault(letter, set()).add(s)
         self.shortest = min(map(len, lexicon), default=1)
-        self.known: dict[bytes, frozenset[str]] = {}
+        self.known = Known(1)  # of a chunk: the place of its set in `sets`
+        self.sets: list[frozenset[str]] = [frozenset()]
 
     def word(self, x: str) -> str | None:
         """The word of the lexicon that x is a disguise of. Decoding keeps letters, and only drops or doubles repeated ones."""
@@ -290,38 +320,63 @@ class Finder:
                 found.update(w for x in readings(part) | {word} if (w := self.word(x)))
         return found
 
-    def chunk(self, raw: bytes) -> frozenset[str]:
-        known = self.known.get(raw)
-        if known is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            known = self.known[raw] = frozenset(self.restored(raw.decode("utf-8", "replace").lower()))
-        return known
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        if len(self.known) > MOST_CHUNKS:
+            self.known.clear()
+            self.sets = [frozenset()]
+        at = np.zeros(len(chunks), dtype=np.int32)
+        for i, chunk in enumerate(chunks):
+            found = self.restored(chunk.decode("utf-8", "replace").lower())
+            if found:
+                at[i] = len(self.sets)
+                self.sets.append(frozenset(found))
+        self.known.add(hashes, at[None])
+
+    def texts(self, raw: np.ndarray, at: np.ndarray) -> list[set[str]]:
+        """The words found in each of the texts raw[at[i] : at[i + 1]]. Chunks are hashed for the whole slice, and only those not seen yet are decoded."""
+        out: list[set[str]] = [set() for _ in range(len(at) - 1)]
+        h, counts, first, last = words(raw, at)
+        if not self.lexicon or not len(h):
+            return out
+        hashes, one, which = np.unique(h, return_index=True, return_inverse=True)
+        fresh = np.flatnonzero(self.known.find(hashes)[0] < 0)
+        data = raw.tobytes()
+        if len(fresh):
+            if len(self.known) + len(fresh) > MOST_CHUNKS:
+                fresh = np.arange(len(hashes))
+            self._learn(hashes[fresh], [data[a : b + 1] for a, b in zip(first[one[fresh]].tolist(), last[one[fresh]].tolist(), strict=True)])
+        places = self.known.find(hashes)[0][which]
+        text = np.repeat(np.arange(len(counts)), counts)
+        for i in np.flatnonzero(places > 0):
+            out[text[i]] |= self.sets[places[i]]
+        # Four single characters in a row, all of one text.
+        single = first == last
+        four = single[:-3] & single[1:-2] & single[2:-1] & single[3:] & (text[:-3] == text[3:])
+        for i in np.unique(text[:-3][four]) if len(four) else ():
+            for m in _SPACED.finditer(data[at[i] : at[i + 1]]):
+                letters = skeleton(decode(b"".join(m[0].split()).decode().lower(), self.model))
+                out[i].update(w for s, w in self.skeletons.items() if len(s) >= 4 and s in letters)
+        return out
 
     def text(self, raw: bytes) -> set[str]:
-        if not self.lexicon:
-            return set()
-        found: set[str] = set()
-        get, chunk = self.known.get, self.chunk
-        for c in set(raw.lower().split()):
-            known = get(c)
-            found |= chunk(c) if known is None else known
-        for m in _SPACED.finditer(raw):
-            letters = skeleton(decode(b"".join(m[0].split()).decode().lower(), self.model))
-            found.update(w for s, w in self.skeletons.items() if len(s) >= 4 and s in letters)
-        return found
+        return self.texts(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))[0]
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, list[set[str]], list[float]]]:
+    """Batches with the words found in each text, and the texts' scores."""
+    lexicon, bias, characters = model
+    finder = Finder(lexicon, characters)
+    for batch in batches:
+        found = [f for _, _, raw, at in slices(batch.column("text")) for f in finder.texts(raw, at)]
+        yield batch, found, [1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(lexicon[w] for w in sorted(f)))))) for f in found]
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, found (the lexicon's words, sorted)."""
-    lexicon, bias, characters = model
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(lexicon, characters)
-        for batch in batches:
-            found = [sorted(finder.text(raw)) for _, texts in in_slices(batch.column("text")) for raw in texts]
-            scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(lexicon[w] for w in f))))) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "score", "found"])
+        for batch, found, scores in _scored(batches, model):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([sorted(f) for f in found], pa.list_(pa.string()))], ["doc_id", "score", "found"])
 
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double, found array<string>")
 
@@ -333,9 +388,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that score THRESHOLD or more; all columns as they were."""
-    toxic = score_texts(docs, learn(docs, labels)).filter(F.col("score") >= THRESHOLD).select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose text scores THRESHOLD or more; all columns as they were. Each row is judged by its own text, whatever its doc_id, in the pass that scores it."""
+    model = learn(docs, labels)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, scores in _scored(batches, model):
+            yield batch.filter(pa.array([s < THRESHOLD for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
