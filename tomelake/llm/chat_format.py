@@ -13,7 +13,7 @@ assistant messages.
 
 Edge cases: null text, role or delta counts as empty; a delta or edit for a message that was never started starts it; a
 message takes the place and role of its first event; ties of seq are ordered by message_id, kind, role and text; rows
-that repeat are messages of their own in `events_of_turns`; an empty log gives an empty result; extra columns are
+that repeat are messages of their own in `events_of_turns`; a conversation all of whose messages are deleted has no row in `render`; an empty log gives an empty result; extra columns are
 ignored. A conversation is one output string, so it must fit into one (2 GB).
 """
 

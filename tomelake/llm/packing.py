@@ -26,8 +26,8 @@ from .common import shuffle_partitions, table
 from .shingles import slices, words
 
 LENGTH = 2048
-#: About so many documents are sampled for the bounds of the ranges.
-SAMPLE_ROWS = 20_000
+#: About so many documents are sampled for the bounds of the ranges, and so many for each range where there are more ranges.
+SAMPLE_ROWS, SAMPLE_OF_RANGE = 20_000, 100
 FEATURES, DIMS, BITS = 512, 4, 8
 _PROJECTION = np.random.Generator(np.random.PCG64(5)).standard_normal((FEATURES, DIMS)).astype(np.float32)
 
@@ -92,7 +92,7 @@ def along_curve(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     docs = docs.select("doc_id", "text")
-    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+    share = min(1.0, max(SAMPLE_ROWS, SAMPLE_OF_RANGE * n) / max(1, docs.count()))
     sample = docs.sample(fraction=share, seed=5) if share < 1 else docs
     rows = sorted((r["curve"], -(1 << 63) if r["doc_id"] is None else r["doc_id"]) for r in sample.mapInArrow(_sampled, "curve long, doc_id long").collect())
     bounds = np.array([rows[len(rows) * i // n] for i in range(1, n)] if rows else [], dtype=[("curve", np.int64), ("doc_id", np.int64)])

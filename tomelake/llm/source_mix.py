@@ -10,7 +10,7 @@ Within a source, documents are ordered by the MD5 of their id. The rank is count
 that hash, and from the sizes of the ranges before, so a source with most of the rows is never sorted by one task.
 
 Edge cases: sources without a weight, null included, share the pseudo-source `other`; a document with repeated id gets
-one place for each row (in `in_mix_order` the place of one of them); one without an id is placed too, and comes first in `in_mix_order`; weight 0 is refused; empty tables give empty results; extra columns are kept by `in_mix_order`.
+one place for each row (in `in_mix_order` the first of them); one without an id is placed too, and comes first in `in_mix_order`; weight 0 is refused; empty tables give empty results; extra columns are kept by `in_mix_order`.
 """
 
 from __future__ import annotations
@@ -87,9 +87,10 @@ def mix(docs: DataFrame, weights: dict[str, int], block: int = BLOCK) -> DataFra
 
 def in_mix_order(docs: DataFrame, weights: dict[str, int], block: int = BLOCK) -> DataFrame:
     """All of docs, with their columns, range-partitioned and sorted by place in the mix: written files are the interleaved order."""
-    places = mix(docs, weights, block).select("doc_id", F.col("position").alias("_position")).dropDuplicates(["doc_id"])
-    ordered = docs.join(places, "doc_id", "left").repartitionByRange(shuffle_partitions(docs.sparkSession), "_position", "doc_id")
-    return ordered.sortWithinPartitions("_position", "doc_id").select(*docs.columns)
+    places = mix(docs, weights, block).groupBy("doc_id").agg(F.min("position").alias("position"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id").join(places, "doc_id", "left")
+    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "position", "doc_id")
+    return ordered.sortWithinPartitions("position", "doc_id").select("_row.*")
 
 
 #: Target weights of the production mix: every fourth source counts four times as much as the least.

@@ -10,7 +10,7 @@ Writers work on ranges of doc_id, one file each, under a temporary name that is
 whole: a task that runs again replaces its file by the same one. Files lie in the shared folder and are opened through
 pyarrow's file systems.
 
-Edge cases: null and empty texts have only the end id; rows without a doc_id come first; rows that repeat a doc_id follow each other in the order of a hash
+Edge cases: ids of 16 bits or less are held, others refused; null and empty texts have only the end id; rows without a doc_id come first; rows that repeat a doc_id follow each other in the order of a hash
 of their text; a document may span blocks and groups; an empty table gives empty files and an empty result; extra columns
 are ignored.
 """
@@ -72,6 +72,8 @@ class FileWriter:
         self.docs = self.docs[len(ended) :]
         listed = zlib.compress(np.array([d for d, _ in ended], "<i8").tobytes() + np.array([c for _, c in ended], "<u8").tobytes(), 6)
         ids = np.frombuffer(now, "<u4").astype(np.int64)
+        if len(ids) and ids.max() >= 1 << (4 * DIGITS):
+            raise ValueError(f"the format holds ids below {1 << (4 * DIGITS)}, not {ids.max()}")
         blocks = [ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)]
         coded = encode_blocks(blocks, DIGITS)
         write = self.out.write
