@@ -1,12 +1,14 @@
-"""SimHash fingerprints of documents, and all pairs of fingerprints within a Hamming radius.
+"""SimHash fingerprints of documents, and fingerprints within a Hamming radius by permuted block tables.
 
 Each distinct word of a text votes with weight 1 + ln(count) on BITS signed bits of its hash; the signs of the sums are the
-fingerprint. `neighbours` finds every pair within the radius by permuted block tables: the bits are cut into
-radius + equal blocks, and two fingerprints within the radius agree on some `equal` of them, so one table for each choice
-of blocks, keyed by them, brings each such pair together.
+fingerprint. The bits are cut into radius + EQUAL blocks; two fingerprints within the radius agree on some EQUAL of them, so
+one table for each choice of blocks, keyed by them, brings each such pair together. `neighbours` puts out every pair;
+`near_groups`, which the query runs, never makes all pairs of a bucket: of each bucket it puts out a spanning forest of the
+pairs within the radius, and its result is the components. A bucket of more than MOST_IN_BUCKET fingerprints is cut into
+blocks, and each two blocks meet in a task of their own.
 
 Edge cases: null counts as empty; a text without words has the fingerprint of zeros; equal texts have equal fingerprints;
-rows that repeat a doc_id are ordered by a hash of their text; rows without one come before all others; the only document of a table is its own next one; an empty
+rows that repeat a doc_id are ordered by a hash of their text; rows without one come before all others, and a group without any doc_id has no id; the only document of a table is its own next one; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -21,10 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table, text_of
+from tomelake.operators.components import connected_components
+
+from .common import saved, shuffle_partitions, stored, table, text_of
 from .shingles import mixed, slices, words
 
 BITS = 128
+#: Differing bits within which fingerprints count as near, and blocks on which two such agree.
+RADIUS, EQUAL = 3, 2
+#: Fingerprints of one bucket that are compared in one task.
+MOST_IN_BUCKET = 20_000
 #: The sign of each of a byte's bits, highest first.
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1.0
 
@@ -102,6 +110,112 @@ def _all(conditions):
     return out
 
 
+def _masks(radius: int) -> np.ndarray:
+    """(tables, 2) words of bits: those that a table's key holds."""
+    cuts = [BITS * i // (radius + EQUAL) for i in range(radius + EQUAL + 1)]
+    out = []
+    for chosen in combinations(range(radius + EQUAL), EQUAL):
+        bits = sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen)
+        out.append((bits >> 64, bits & ((1 << 64) - 1)))
+    return np.array(out, dtype=np.uint64)
+
+
+_ROW = "key long, id long, hi long, lo long"
+
+
+def _table_rows(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """A row for each fingerprint (id, fingerprint in hex) and table."""
+    masks = _masks(radius)
+    for batch in batches:
+        words_ = np.frombuffer(bytes.fromhex("".join(batch.column("fingerprint").to_pylist())), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+        for t, (hi, lo) in enumerate(masks):
+            key = mixed(mixed((words_[:, 0] & hi) ^ np.uint64(t + 1)) ^ (words_[:, 1] & lo))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("id"), pa.array(words_[:, 0].view(np.int64)), pa.array(words_[:, 1].view(np.int64))], ["key", "id", "hi", "lo"])
+
+
+def _forest(ids: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that connect what pairs within the radius connect: each print is compared with those that aren't reached yet."""
+    links = []
+    left = np.arange(len(ids))
+    while len(left) > 1:
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            near = np.bitwise_count(prints[left] ^ prints[i]).sum(axis=1) <= radius
+            reached, left = left[near], left[~near]
+            links += [(int(ids[i]), int(ids[j])) for j in reached]
+            todo.extend(reached)
+    return links
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows by key -> links (a, b) of each bucket; of a bucket beyond `most` its rows."""
+    now, held, size, large = None, [], 0, False
+
+    def links():
+        ids, hi, lo = (np.concatenate([p[i] for p in held]) for i in range(3))
+        return _forest(ids, np.stack((hi, lo), axis=1).view(np.uint64), radius) if len(ids) > 1 else []
+
+    def rows(parts, key):
+        n = sum(len(p[0]) for p in parts)
+        cols = [np.concatenate([p[i] for p in parts]) for i in range(3)]
+        empty = pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([empty, empty, pa.array(np.full(n, key, dtype=np.int64)), *map(pa.array, cols)], ["a", "b", "key", "id", "hi", "lo"])
+
+    def found(pairs):
+        a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+        empty = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), empty, empty, empty, empty], ["a", "b", "key", "id", "hi", "lo"])
+
+    for batch in batches:
+        cols = [batch.column(n).to_numpy() for n in ("key", "id", "hi", "lo")]
+        key = cols[0]
+        if not len(key):
+            continue
+        at = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        several = np.diff(at)
+        out = []
+        for g in np.flatnonzero((several > 1) | (np.arange(len(several)) == 0) | (np.arange(len(several)) == len(several) - 1)):
+            part = tuple(c[at[g] : at[g + 1]] for c in cols[1:])
+            if key[at[g]] != now:
+                if held and not large:
+                    out += links()
+                now, held, size, large = int(key[at[g]]), [], 0, False
+            held.append(part)
+            size += len(part[0])
+            if large or size > most:
+                large = True
+                yield rows(held, now)
+                held = []
+        if out:
+            yield found(out)
+    if held and not large and (out := links()):
+        yield found(out)
+
+
+def near_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """prints(doc_id, fingerprint) -> (fingerprint, near_group): the smallest doc_id that fingerprints within the radius, one after the other, connect to; every different fingerprint has one row."""
+    n, most = shuffle_partitions(prints.sparkSession), MOST_IN_BUCKET
+    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "fingerprint", "doc_id"), "prints")
+    keyed = classes.select("id", "fingerprint").mapInArrow(lambda x: _table_rows(x, radius), _ROW)
+    schema = f"a long, b long, {_ROW}"
+    found = stored(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda x: _bucket_links(x, radius, most), schema), "near-prints")
+    links = found.filter("a is not null").select("a", "b")
+    large = found.filter("a is null").select("key", "id", "hi", "lo")
+    if not large.isEmpty():
+        sizes = large.groupBy("key").agg(F.ceil(2 * F.count(F.lit(1)) / most).alias("blocks"))
+        rows = large.join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("id"), "blocks"))
+        rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "id", "hi", "lo")
+        met = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda x: _bucket_links(x, radius, 1 << 62), schema)
+        links = links.unionByName(met.select("a", "b"))
+    part = connected_components(links, "a", "b", cut=saved)
+    classes = classes.join(part.selectExpr("vertex as id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = classes.groupBy("component").agg(F.min("doc_id").alias("near_group"))
+    return classes.join(least, "component").select("fingerprint", "near_group")
+
+
 _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _NAMES = [c.split()[0] for c in _EDITED.split(", ")]
 _RUN = 1 << 19
@@ -170,4 +284,5 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
 
 
 def op4_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_likeness(table(spark, sf_dir, "documents"))
+    edited = stored(edit_likeness(table(spark, sf_dir, "documents")), "edited")
+    return edited.join(near_groups(edited.select("doc_id", "fingerprint")), "fingerprint").select(*_NAMES, "near_group")
