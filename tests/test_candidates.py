@@ -18,8 +18,10 @@ def test_candidates_are_ordered(spark):
 def test_hints(spark):
     rows = [([("Stephen King", 0.9), ("The Stand", 0.95), ("A much longer subtitle line", 0.7)],), ([("by J. K. Rowling", 0.4), ("written by Ann Lee", 0.8)],), ([],), ([("12", 0.9), ("copyright 1999", 0.99)],)]
     got = spark.createDataFrame(rows, LINES).select(C.title_hint(F.col("l")).alias("t"), C.author_hint(F.col("l")).alias("a")).collect()
-    # The form of a name takes two capitalised words, so "The Stand" passes for a name too.
-    assert [(r["t"], r["a"]) for r in got] == [("A much longer subtitle line", "Stephen King"), (None, "Ann Lee"), (None, None), (None, None)]
+    # The form of a bare name asks for an initial between the two words, so "Stephen King" alone is none.
+    assert [(r["t"], r["a"]) for r in got] == [("A much longer subtitle line", None), (None, "Ann Lee"), (None, None), (None, None)]
+    named = spark.createDataFrame([([("Stephen M. King", 0.9), ("It", 0.95)],)], LINES)
+    assert tuple(named.select(C.title_hint(F.col("l")), C.author_hint(F.col("l"))).first()) == ("It", "Stephen M. King")
 
 
 def test_decisions(spark):
