@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import box_queries, candidate_queries, catalog_queries, evidence_queries, field_queries, record_queries, role_queries, spine_queries, text_queries, title_queries
+from . import box_queries, candidate_queries, catalog_queries, evidence_queries, field_queries, record_queries, role_queries, spine_queries, text_queries, title_queries, work_queries
 
-MODULES = (text_queries, box_queries, candidate_queries, catalog_queries, evidence_queries, field_queries, record_queries, role_queries, spine_queries, title_queries)
+MODULES = (text_queries, box_queries, candidate_queries, catalog_queries, evidence_queries, field_queries, record_queries, role_queries, spine_queries, title_queries, work_queries)
 
 
 def queries() -> dict:
