@@ -92,13 +92,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def row_key():
-    """Stands for a document: its doc_id and its text."""
-    return F.xxhash64("doc_id", "text")
+    """Stands for a document: 128 bits of its doc_id and its text."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, n_shingles, set_key (128-bit hash of the whole set), signature."""
-    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(_sign, "doc_id long, row_key long, n_shingles long, set_key string, signature binary")
+    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(_sign, "doc_id long, row_key string, n_shingles long, set_key string, signature binary")
 
 
 def _hashed(parts: list[np.ndarray]) -> np.ndarray:
