@@ -1,15 +1,17 @@
 """Quality classifier from weak labels.
 
 1. Overlapping heuristic labellers vote good, bad or nothing on each text; the corpus is counted by pattern of votes, of
-   which there are at most 3**8.
+   which there are at most 3**11. Each kind of bad text is known by two labellers at least, and one labeller (length) is no
+   judge of quality at all: the estimate has to find that out.
 2. Expectation-maximisation over the patterns estimates how often each labeller votes what on good and on bad texts, and
-   with that the posterior of each pattern.
-3. A logistic model over hashed words and word shapes is fitted to the posteriors of at most about TRAINING_ROWS texts
-   (those of the least hash of doc_id), and scores every text.
+   with that the posterior of each pattern. It starts from the number of bad votes: two are a strong hint, one is open. No
+   rate is bounded; a few pseudo-votes keep it off 0 and 1.
+3. A logistic model over hashed words and word shapes is fitted to the posteriors of a sample of about TRAINING_ROWS rows,
+   and scores every text.
 
 No label is read. Edge cases: null and empty texts have no word, get no vote and the score of the bias alone (about the prior); repeated rows
-are scored each; a table of equal votes leaves the prior; an empty table gives an empty result; extra columns are ignored
-by `score_quality` and kept by `keep_good`.
+are scored each; equal scores are treated alike, as the threshold alone decides; a table of equal votes leaves the prior; an empty table gives an empty result; extra columns are ignored
+by `score_quality` and kept by `keep_good`, which judges each row by its own text.
 """
 
 from __future__ import annotations
@@ -26,15 +28,16 @@ from .common import table
 from .shingles import slices, words
 
 ABSTAIN, GOOD, BAD = 0, 1, 2
-LABELLERS = ("symbols", "columns", "capitals", "exclamations", "repeats", "stutter", "punctuation", "word_length")
+LABELLERS = ("symbols", "columns", "capitals", "exclamations", "repeats", "stutter", "punctuation", "word_length", "tails", "wordless", "length")
 WORD_FEATURES, SHAPES = 1 << 13, 1024
 FEATURES = WORD_FEATURES + SHAPES
 #: The model is fitted to about so many texts at most.
 TRAINING_ROWS = 8000
 THRESHOLD = 0.5
-#: What is assumed of every labeller: it finds at least this share of bad texts and marks at most this share of good ones.
-#: Without the second bound a kind of bad text that one labeller alone knows would pass for that labeller's errors.
-LEAST_HIT, MOST_FALSE_ALARM = 0.02, 0.002
+#: P(good) from which the estimate starts, by the number of bad votes: none, one, more.
+START = (0.98, 0.7, 0.1)
+#: Pseudo-votes of a labeller in each class, good and bad, and the share of them that is bad.
+PSEUDO_VOTES, PSEUDO_BAD = (10.0, 2.0), (0.05, 0.25)
 WINDOW = 8
 _ROWS = 256
 _SYMBOL, _UPPER, _LOWER, _DIGIT, _STOP, _BANG, _BAR, _BEYOND = range(8)
@@ -86,6 +89,8 @@ def votes(t: Texts) -> np.ndarray:
     solid = np.maximum(t.classes[:, :8].sum(axis=1), 1)
     of = lambda flag: np.bincount(t.rows, weights=flag, minlength=len(n)) / n
     cased = t.classes[:, _UPPER] + t.classes[:, _LOWER]
+    first, last = t.shapes // 128, t.shapes // 2 % 8
+    ends_in_sign = (last == _SYMBOL) | (last == _BAR)
 
     def judge(value, good, bad, when=None):
         out = np.where(bad(value), BAD, np.where(good(value), GOOD, ABSTAIN))
@@ -100,6 +105,9 @@ def votes(t: Texts) -> np.ndarray:
         judge(of(t.stutter), lambda v: v < 0.05, lambda v: v > 0.2),
         judge(t.classes[:, _STOP] / n, lambda v: (v > 0.03) & (v < 0.5), lambda v: v < 0.005, t.counts >= 20),
         judge(t.letters / n, lambda v: (v > 2.5) & (v < 9), lambda v: v > 12),
+        judge(of(ends_in_sign), lambda v: v < 0.05, lambda v: v > 0.2),
+        judge(of(ends_in_sign & ((first == _SYMBOL) | (first == _BAR))), lambda v: v < 0.03, lambda v: v > 0.1),
+        judge(t.counts, lambda v: v > 60, lambda v: v < 20),
     )
     return np.stack(columns, axis=1)
 
@@ -117,22 +125,21 @@ def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pattern", "n"])
 
 
-def posteriors(counts: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], np.ndarray]:
+def posteriors(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np.ndarray]:
     """pattern -> P(good), and P(bad vote | class, a vote) of each labeller (labellers, 2): class 0 is good.
 
-    An abstention says nothing. The first guess is that a text is bad where any labeller says so: kinds of bad text are
-    many, and most labellers know one of them.
+    An abstention says nothing.
     """
     keys = np.array(sorted(counts), dtype=np.int64)
     n = np.array([counts[k] for k in keys], dtype=float)
     v = keys[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     bad, good = (v == BAD).astype(float), (v == GOOD).astype(float)
-    post = np.where(bad.any(axis=1), 0.02, 0.98)
+    post = np.array(START)[np.minimum(bad.sum(axis=1).astype(int), 2)]
+    pseudo, share = np.array(PSEUDO_VOTES)[:, None], np.array(PSEUDO_BAD)[:, None]
     for _ in range(rounds):
         weight = np.stack([n * post, n * (1 - post)])
         prior = (weight.sum(axis=1) + 1) / (weight.sum() + 2)
-        rate = ((weight @ bad + [[0.05], [0.5]]) / (weight @ (bad + good) + 1)).T
-        rate = np.clip(rate, [1e-6, LEAST_HIT], [MOST_FALSE_ALARM, 1 - 1e-6])
+        rate = ((weight @ bad + pseudo * share) / (weight @ (bad + good) + pseudo)).T
         log = np.log(prior)[:, None] + (bad @ np.log(rate) + good @ np.log(1 - rate)).T
         post = 1 / (1 + np.exp(np.clip(log[1] - log[0], -50, 50)))
     return dict(zip(keys.tolist(), post.tolist(), strict=True)), rate
@@ -185,8 +192,8 @@ def learn(docs: DataFrame) -> np.ndarray:
     if not total:
         return np.zeros(FEATURES + 1)
     post, _ = posteriors(counts)
-    share = int(min(1.0, TRAINING_ROWS / total) * (1 << 30))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    share = TRAINING_ROWS / total
+    sample = docs.sample(fraction=share, seed=7) if share < 1 else docs
     rows = sample.select("text").mapInArrow(_training, "pattern long, index binary, value binary").collect()
     index = [np.frombuffer(r["index"], "<i4") for r in rows]
     at = np.repeat(np.arange(len(rows)), [len(i) for i in index])
@@ -195,14 +202,17 @@ def learn(docs: DataFrame) -> np.ndarray:
     return fit(at, join(index, "<i4").astype(np.int64), value, np.array([post[r["pattern"]] for r in rows]))
 
 
+def _quality(t: Texts, weights: np.ndarray) -> np.ndarray:
+    found = [1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))) for _, x in features(t)]
+    return np.concatenate(found) if found else np.zeros(0)
+
+
 def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, quality (0 to 1), kept."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for _, _, raw, at in slices(batch.column("text")):
-                found += [1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))) for _, x in features(_texts(raw, at))]
+            found = [_quality(_texts(raw, at), weights) for _, _, raw, at in slices(batch.column("text"))]
             quality = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(quality), pa.array(quality >= THRESHOLD)], ["doc_id", "quality", "kept"])
 
@@ -210,9 +220,15 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without those of low quality; all columns as they were."""
-    low = score_quality(docs, learn(docs)).filter("not kept").select("doc_id").distinct()
-    return docs.join(low, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose text is of low quality; all columns as they were."""
+    weights = learn(docs)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [_quality(t, weights) >= THRESHOLD for _, _, raw, at in slices(batch.column("text")) for t in [_texts(raw, at)]]
+            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, dtype=bool)))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
