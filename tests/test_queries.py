@@ -24,3 +24,11 @@ def test_crop_widths_of_halves(spark, tmp_path):
     rows = [(17068, 3, 17092, 19, 2.0, 16057.0, 0.0, 0.07), (94701, 2, 8501, 411, 2.0, 72323.0, 0.09, 0.06), (127075, 7, 17902, 969, 4.0, 71857.0, 0.08, 0.0)]
     got, want = both(spark, tmp_path, "box_corners", lineitem=(rows, LINEITEM))
     assert got == want
+
+
+def test_tokens_of_mostly_digits(spark, tmp_path):
+    lines = ["a token 186661156f3f9905942d70850a01cbf23a203f12 here", "ISBN 9780743273565 and 030640615x", "isbn 12345a 2024 night", "gone 99999b", ""]
+    rows = [(1, "\n".join(lines)), (2, None), (3, "")]
+    got, want = both(spark, tmp_path, "evidence_line_functions", documents=(rows, "doc_id long, text string"))
+    assert got == want
+    assert len(got) == 6

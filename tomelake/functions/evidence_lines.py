@@ -187,17 +187,29 @@ def tokens(normalized: Column) -> Column:
     return F.filter(F.transform(words, lambda t: F.regexp_replace(t, "^'+|'+$", "")), lambda t: F.length(t) > 1)
 
 
+def evidence_of(tokens_: Column, is_number=I.is_isbn_like_token) -> Column:
+    """Of tokens those that count as evidence: no genre, no number."""
+    return F.filter(tokens_, lambda t: ~t.isin(*GENRES) & ~t.rlike("^[0-9]+$") & ~is_number(t))
+
+
 def evidence_tokens(normalized: Column) -> Column:
-    """Tokens that count as evidence: no genre, no number."""
-    return F.filter(tokens(normalized), lambda t: ~t.isin(*GENRES) & ~t.rlike("^[0-9]+$") & ~I.is_isbn_like_token(t))
+    return evidence_of(tokens(normalized))
+
+
+def scoring_of(evidence: Column) -> Column:
+    return F.filter(evidence, lambda t: ~t.isin(*SCORING_GENERIC))
+
+
+def distinct_of(tokens_: Column) -> Column:
+    return F.array_distinct(F.filter(tokens_, lambda t: ~t.isin(*GENRES)))
 
 
 def tokens_from_text(c: Column) -> Column:
-    return F.array_distinct(F.filter(tokens(normalize_line(c)["normalized"]), lambda t: ~t.isin(*GENRES)))
+    return distinct_of(tokens(normalize_line(c)["normalized"]))
 
 
 def scoring_tokens(c: Column) -> Column:
-    return F.filter(evidence_tokens(normalize_line(c)["normalized"]), lambda t: ~t.isin(*SCORING_GENERIC))
+    return scoring_of(evidence_tokens(normalize_line(c)["normalized"]))
 
 
 def is_generic_title(c: Column) -> Column:
