@@ -1,8 +1,15 @@
 """Queries on small tables of odd rows, held against their SQL."""
 
+import random
+import string
+import time
+
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tomelake.functions import text as T
+from tomelake.operators import evidence as E
 
 
 def both(spark, folder, name: str, **tables) -> tuple[list, list]:
@@ -32,3 +39,60 @@ def test_tokens_of_mostly_digits(spark, tmp_path):
     got, want = both(spark, tmp_path, "evidence_line_functions", documents=(rows, "doc_id long, text string"))
     assert got == want
     assert len(got) == 6
+
+
+def regexes(spark, folder, name: str) -> int:
+    """How many regular expressions a query's plan runs over a line."""
+    rows = [(1, "The Road\nNEW YORK TIMES\nBESTSELLER by Ann Brown"), (2, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    plan = entry.queries()[name](spark, str(folder))._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("regexp_") + plan.count("RLIKE")
+
+
+def test_penalty_normalises_a_line_once(spark, tmp_path):
+    assert regexes(spark, tmp_path, "generic_penalty") < 20
+
+
+def test_line_classes_normalise_a_line_once(spark, tmp_path):
+    assert regexes(spark, tmp_path, "classified_lines") < 20
+
+
+def test_penalties_of_odd_lines(spark, tmp_path):
+    lines = ["The Book", "", "  ", "Introduction", "essentials of\tthe  story", "it", "Ünal's guide", "anthology principles fundamentals", "a_b", "novel", "Complete  Guide", "of the", "x 1 2 3"]
+    got, want = both(spark, tmp_path, "generic_penalty", documents=([(1, "\n".join(lines)), (2, None)], "doc_id long, text string"))
+    assert got == want
+
+
+def test_one_file_is_dealt_over_tasks(spark, tmp_path):
+    from tomelake.plans import tables
+
+    spark.createDataFrame([(i, "a\nb") for i in range(100)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = tables.lines(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 4
+
+
+def test_likeness_by_bounded_edits_is_that_by_all(spark):
+    r = random.Random(3)
+    pairs = [("", ""), ("", "a"), ("a", "a"), ("ab", "abc"), ("x" * 20, "x" * 17), ("x" * 20, "x" * 16)]
+    for n in [6, 7, 13, 14, 20, 40, 60, 100] * 12:
+        a = "".join(r.choice("acdefg") for _ in range(n))
+        b = list(a)
+        for _ in range(r.randint(0, max(1, n // 4))):
+            i = r.randrange(len(b))
+            b[i : i + 1] = r.choice([["h"], [], [b[i], "h"]]) or ["h"] if len(b) < 2 else r.choice([["h"], [], [b[i], "h"]])
+        pairs.append((a, "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select(T.similar_forms(F.col("a"), F.col("b")).alias("new"), ((F.col("a") == F.col("b")) | (T.line_similarity(F.col("a"), F.col("b")) >= 0.85)).alias("old")).collect()
+    assert [x["new"] for x in got] == [x["old"] for x in got]
+    assert 20 < sum(x["new"] for x in got) < len(got) - 20
+
+
+def test_many_long_lines_are_folded(spark):
+    r = random.Random(5)
+    plain = ["".join(r.choice(string.ascii_lowercase + " ") for _ in range(300)).strip() for _ in range(500)]
+    rows = [(0, 0, 1.0, i, t, 0.5) for i, t in enumerate(plain)] + [(0, 1, 0.5, i, t[:100] + "!?" + t[103:], 0.9) for i, t in enumerate(plain[:100])]
+    began = time.time()
+    got = E.merge_lines(spark.createDataFrame(rows, "candidate_id int, crop_idx int, crop_score double, line_idx int, text string, confidence double")).first()
+    assert time.time() - began < 40
+    texts = [x["text"] for x in got["merged_lines"]]
+    assert texts == [rows[500 + i][4] for i in range(100)] + plain[100:]

@@ -10,20 +10,27 @@ from tomelake.functions import decisions as D
 from tomelake.functions import text as T
 
 
-def fold_similar_lines(lines: Column, similar=lambda a, b: T.are_similar_lines(a["text"], b["text"])) -> Column:
+def fold_similar_lines(lines: Column) -> Column:
     """Lines (structs with text and confidence) in order, each merged into the first kept line it is like: the surer text takes that place.
 
-    The fold depends on the order, as likeness isn't transitive.
+    The fold depends on the order, as likeness isn't transitive. A line's comparable form is worked out once, before the fold.
     """
+    keyed = F.transform(lines, lambda x: F.struct(T.ocr_line(x["text"]).alias("k"), x.alias("x")))
 
     def step(kept, line):
-        # The place of the first similar kept line, -1 for none.
-        hits = F.transform(kept, lambda k: similar(line, k))
-        at = F.coalesce(F.array_position(hits, True), F.lit(0)) - 1
-        swap = F.transform(kept, lambda k, i: F.when((i == at) & (line["confidence"] > k["confidence"]), line).otherwise(k))
-        return F.when(at < 0, F.concat(kept, F.array(line))).otherwise(swap)
+        # The place of the first similar kept line, from 1; 0 for none.
+        hits = F.transform(kept, lambda k: T.similar_forms(line["k"], k["k"]))
+        at = F.coalesce(F.array_position(hits, True), F.lit(0)).cast("int")
 
-    return F.aggregate(lines, F.slice(lines, 1, 0), step)
+        def put(i):
+            held = F.element_at(kept, i)
+            swapped = F.concat(F.slice(kept, F.lit(1), i - 1), F.array(line), F.slice(kept, i + 1, F.size(kept)))
+            return F.when(line["x"]["confidence"] > held["x"]["confidence"], swapped).otherwise(kept)
+
+        places = F.transform(F.array(at), lambda i: F.when(i == 0, F.concat(kept, F.array(line))).otherwise(put(F.greatest(i, F.lit(1)))))
+        return F.get(places, F.lit(0))
+
+    return F.transform(F.aggregate(keyed, F.slice(keyed, 1, 0), step), lambda x: x["x"])
 
 
 def prefix_similarity(a: Column, b: Column) -> Column:
