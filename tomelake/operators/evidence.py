@@ -112,10 +112,20 @@ def classify_document_lines(lines: DataFrame, doc: str = "doc_id", order: str =
     """Each line with its exclusion reason, badge confidence and reason, person and title likeness. Neighbours come from a window over the document."""
     from tomelake.functions import lines as L
 
+    line = F.col(text)
+    # What several tests look at is a column; only their answers pass the window.
+    rows = lines.select(doc, order, T.strip(line).alias("_s"), T.normalize_for_match(line).alias("_norm"))
+    rows = rows.withColumns({"_t": F.filter(F.split("_norm", " "), lambda x: x != ""), "_alpha": T.alpha_ratio(F.col("_s")), "_price": L.is_price_like(F.col("_s")), "_imprint": F.col("_norm").isin(*L.IMPRINTS)})
+    rows = rows.withColumns({"_orgs": F.size(F.filter("_t", lambda x: x.isin(*L.ORG_MARKERS))), "_fragment": L.is_fragment_of(F.col("_s"), F.col("_t"), F.col("_alpha"))})
+    title = ~F.col("_price") & ~F.col("_fragment") & ~F.col("_imprint") & (F.col("_alpha") >= 0.6) & (F.size("_t") > 0)
+    person = L.is_person_like_of(F.col("_s"), F.col("_t"), F.col("_alpha"), F.col("_orgs"))
+    rows = rows.select(
+        doc, order, "_price", "_fragment", "_imprint", L.badge_marks(F.col("_norm")).alias("_marks"),
+        L.person_likeness_of(person, L.org_penalty_of(F.col("_orgs"), F.size("_t"))).alias("_person"), L.title_likeness_of(title).alias("_title"),
+    )
     at = W.partitionBy(doc).orderBy(order)
-    rows = lines.withColumn("_norm", T.normalize_for_match(F.col(text)))
-    rows = rows.withColumn("_badge", L.badge(F.col("_norm"), F.lag("_norm").over(at), F.lead("_norm").over(at)))
-    rows = rows.withColumn("exclusion", L.exclusion_reason(F.col(text), F.col("_badge.confidence")))
+    rows = rows.withColumn("_badge", L.badge_of(F.col("_marks"), F.lag("_marks").over(at), F.lead("_marks").over(at)))
+    rows = rows.withColumn("exclusion", L.exclusion_of(F.col("_price"), F.col("_fragment"), F.col("_imprint"), F.col("_badge.confidence")))
     kept = F.col("exclusion").isNull()
     return rows.select(
         doc,
@@ -123,6 +133,6 @@ def classify_document_lines(lines: DataFrame, doc: str = "doc_id", order: str =
         "exclusion",
         F.col("_badge.confidence").alias("badge_confidence"),
         F.col("_badge.reason").alias("badge_reason"),
-        F.when(kept, L.person_likeness(F.col(text))).alias("person_likeness"),
-        F.when(kept, L.title_likeness(F.col(text))).alias("title_likeness"),
+        F.when(kept, F.col("_person")).alias("person_likeness"),
+        F.when(kept, F.col("_title")).alias("title_likeness"),
     )
