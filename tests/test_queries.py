@@ -96,3 +96,18 @@ def test_many_long_lines_are_folded(spark):
     assert time.time() - began < 40
     texts = [x["text"] for x in got["merged_lines"]]
     assert texts == [rows[500 + i][4] for i in range(100)] + plain[100:]
+
+
+def test_evidence_normalises_an_array_once(spark, tmp_path):
+    assert regexes(spark, tmp_path, "evidence_tokens") < 300
+
+
+def test_evidence_lines_are_those_of_the_lines_as_they_are(spark):
+    from tomelake.functions import evidence_lines as X
+
+    rows = [(1, ["[NICHOLAS  SPARKS]", "  Ünal Æon! ", "$9.99", "THE LORD OF", "THE RINGS"]), (2, ["theGreat Gatsby", "J. K. Rowling"]), (3, [""])]
+    df = X.with_evidence(spark.createDataFrame(rows, "i int, l array<string>"), "l")
+    got = df.select("evidence_lines", X.clean_lines(F.col("l")).alias("want")).collect()
+    assert all(r["evidence_lines"] == r["want"] for r in got)
+    one = spark.createDataFrame(rows, "i int, l array<string>").select(X.normalize_lines(F.col("l")).alias("a"), F.transform("l", X.normalize_line).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in one)

@@ -104,19 +104,33 @@ def normalize_line(c: Column) -> Column:
     return F.struct(out.alias("original"), F.lower(out).alias("normalized"), wrapped.alias("wrapped"))
 
 
+def normalize_lines(lines: Column) -> Column:
+    """`normalize_line` of each line of an array. A step is an array of its own, so nothing is worked out twice for a line."""
+    clean = F.transform(lines, lambda x: T.collapse(T.strip(fold(x))))
+    marked = F.transform(clean, lambda x: F.struct(x.alias("c"), x.rlike(_WRAPPED).alias("w")))
+
+    def bare(x: Column) -> Column:
+        ends = F.regexp_replace(F.regexp_replace(x["c"], r"""^[\[\](){}<>"']+""", ""), r"""[\[\](){}<>"']+$""", "")
+        out = F.when(x["w"], T.strip(F.regexp_extract(x["c"], _WRAPPED, 1))).otherwise(ends)
+        out = F.regexp_replace(F.regexp_replace(out, r"^[^A-Za-z0-9_\s]+", ""), r"[^A-Za-z0-9_\s]+$", "")
+        return F.struct(T.collapse(T.strip(out)).alias("o"), x["w"].alias("w"))
+
+    return F.transform(F.transform(marked, bare), lambda x: F.struct(x["o"].alias("original"), F.lower(x["o"]).alias("normalized"), x["w"].alias("wrapped")))
+
+
 def strip_embedded_noise(c: Column) -> Column:
     """Prices, labels of numbers and publishers' words cut out."""
     for p in EMBEDDED:
         c = F.regexp_replace(c, java(p), " ")
     letters = lambda w: F.regexp_replace(F.lower(w), "[^a-z]", "")
-    keep = lambda w: F.when(letters(w) == "", w.rlike("[0-9]")).otherwise(~letters(w).isin(*PUBLISHER_NOISE))
+    keep = lambda w: ~letters(w).isin("", *PUBLISHER_NOISE) | (~w.rlike("[a-zA-Z]") & (letters(w) == "") & w.rlike("[0-9]"))
     return F.array_join(F.filter(F.split(c, r"\s+"), lambda w: (w != "") & keep(w)), " ")
 
 
 def is_incomplete(c: Column) -> Column:
     """The line ends with a word that must go on, or with a hyphen."""
     c = T.strip(c)
-    last = F.regexp_replace(F.lower(F.element_at(F.split(c, r"\s+"), -1)), "[^a-z]", "")
+    last = F.regexp_replace(F.lower(F.regexp_replace(c, r"(?s)^.*\s", "")), "[^a-z]", "")
     return (F.length(c) >= 3) & (last.isin(*CONTINUATIONS) | F.endswith(c, F.lit("-")))
 
 
@@ -184,7 +198,7 @@ def tokens(normalized: Column) -> Column:
     """Words with apostrophes inside; no single characters, and numbers only where they look like an ISBN."""
     number = lambda t: t.rlike("^[0-9]+$") & ~t.rlike("^([0-9]{10}|97[89][0-9]{10})$")
     words = F.filter(F.split(normalized, r"[^A-Za-z0-9_']+"), lambda t: (F.length(t) > 1) & ~number(t))
-    return F.filter(F.transform(words, lambda t: F.regexp_replace(t, "^'+|'+$", "")), lambda t: F.length(t) > 1)
+    return F.filter(F.transform(words, lambda t: F.btrim(t, F.lit("'"))), lambda t: F.length(t) > 1)
 
 
 def evidence_of(tokens_: Column, is_number=I.is_isbn_like_token) -> Column:
@@ -226,7 +240,7 @@ def line_isbn(c: Column) -> Column:
     bare = F.regexp_replace(c, r"[-\s]", "")
     ten = F.upper(F.regexp_extract(bare, "[0-9]{9}[0-9Xx]", 0))
     thirteen = F.regexp_extract(bare, "97[89][0-9]{10}", 0)
-    return F.when(thirteen != "", thirteen).when(ten != "", ten)
+    return F.when(c.rlike("[0-9]"), F.when(thirteen != "", thirteen).when(ten != "", ten))
 
 
 def looks_like_person(c: Column) -> Column:
@@ -248,18 +262,21 @@ def looks_like_title(c: Column) -> Column:
 
 def clean_lines(lines: Column) -> Column:
     """Merged lines that are neither empty nor noise nor marketing, normalised."""
-    normal = F.transform(F.transform(merge_split_lines(lines), strip_embedded_noise), normalize_line)
+    return clean_of(normalize_lines(F.transform(merge_split_lines(lines), strip_embedded_noise)))
+
+
+def clean_of(normal: Column) -> Column:
     kept = F.filter(normal, lambda x: (x["normalized"] != "") & ~is_noise(x["normalized"]) & ~is_marketing(x["normalized"]))
     return F.transform(kept, lambda x: x["original"])
 
 
 def with_evidence(df: DataFrame, lines: str) -> DataFrame:
-    """df with the evidence of its column of line arrays: wrapped, cleaned, tokens (distinct, in order), token_counts, phrases, person_lines, title_lines, isbns.
+    """df with the evidence of its column of line arrays: wrapped, cleaned, tokens (distinct, in order), token_counts, phrases, person_lines, title_lines, isbns, evidence_lines.
 
     Each step is a column of its own, so nothing is worked out twice for a line.
     """
     df = df.withColumn("_split", F.transform(lines, split_joined)).withColumn("_merged", merge_split_lines(F.col("_split")))
-    df = df.withColumn("_bare", F.transform("_merged", strip_embedded_noise)).withColumn("_normal", F.transform("_bare", normalize_line))
+    df = df.withColumn("_bare", F.transform("_merged", strip_embedded_noise)).withColumn("_normal", normalize_lines(F.col("_bare"))).withColumn("_all", F.col("_normal"))
     df = df.withColumn("isbns", F.filter(F.transform(F.filter(F.arrays_zip("_merged", "_normal"), lambda x: x["_normal"]["normalized"] != ""), lambda x: line_isbn(x["_merged"])), lambda x: x.isNotNull()))
     df = df.withColumn("_normal", F.filter("_normal", lambda x: x["normalized"] != ""))
     df = df.withColumn("wrapped", F.transform(F.filter("_normal", lambda x: x["wrapped"]), lambda x: x["original"]))
@@ -270,7 +287,9 @@ def with_evidence(df: DataFrame, lines: str) -> DataFrame:
     df = df.withColumn("tokens", F.array_distinct("_tokens"))
     df = df.withColumn("phrases", F.transform(F.filter("_kept", lambda x: (F.regexp_count(x["original"], F.lit("[a-zA-Z]")) >= 3) & (F.size(tokens(x["normalized"])) >= 1)), lambda x: x["original"]))
     df = df.withColumn("person_lines", F.filter("phrases", looks_like_person)).withColumn("title_lines", F.filter("phrases", looks_like_title))
-    return df.drop("_merged", "_bare", "_normal", "_kept")
+    # Where no words are parted, the lines are the same ones.
+    df = df.withColumn("evidence_lines", F.when(F.col("_split") == F.col(lines), clean_of(F.col("_all"))).otherwise(clean_lines(F.col(lines))))
+    return df.drop("_merged", "_bare", "_normal", "_kept", "_all")
 
 
 def with_recovered_authors(df: DataFrame) -> DataFrame:
