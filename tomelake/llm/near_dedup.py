@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tomelake.operators.components import connected_components
@@ -436,9 +437,16 @@ def confirmed(unit: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return rows.mapInArrow(_confirm, "a long, b long")
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components: a class is linked with the least of its lesser ones, and that one with the others, so members of many stars are linked once."""
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    first = F.min("a").over(W.partitionBy("b"))
+    return ends.withColumn("f", first).select("f", F.when(F.col("a") == F.col("f"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct().withColumnRenamed("f", "a")
+
+
 def _components(links: DataFrame, classes: DataFrame) -> DataFrame:
     """classes with a column part: the least id that links connect to."""
-    part = connected_components(links, "a", "b", cut=saved)
+    part = connected_components(thinned(links), "a", "b", cut=saved)
     return classes.drop("part").join(part.selectExpr("vertex as id", "component"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
 
 
