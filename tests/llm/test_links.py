@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
+from tomelake.llm import near_dedup
 from tomelake.llm.near_dedup import thinned
 from tomelake.operators.components import connected_components
 
@@ -15,3 +19,13 @@ def test_members_of_many_stars_are_linked_once(spark):
     assert few.filter("a < 1000").count() == 300 + 19 + 1 + 1 - 1
     cut = lambda df: df.localCheckpoint()
     assert {tuple(x) for x in connected_components(few, "a", "b", cut=cut).collect()} == {tuple(x) for x in connected_components(links, "a", "b", cut=cut).collect()}
+
+
+def test_buckets_of_the_same_parts_name_the_same_links():
+    # Forty buckets of sixty near parts, another part being the smallest in each.
+    sign = np.zeros(near_dedup.SYMBOLS, np.uint16).tobytes()
+    rows = [(k, 2 * p + j, 9, sign, p) for k in range(40) for p in range(60) for j in range(1 + (p != k))]
+    names = ["bucket", "id", "n", "signature", "part"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+    links = {(r["a"], r["b"]) for out in near_dedup._forest([batch]) for r in out.to_pylist()}
+    assert links == {(0, p) for p in range(1, 60)}

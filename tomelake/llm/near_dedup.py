@@ -11,8 +11,8 @@
 4. `meetings`: what is left of a bucket becomes one set, if it has at most MOST_IN_BUCKET members; else members outside
    its largest component are cut into blocks, which meet each other and each block of the largest component, whose own
    blocks needn't meet.
-5. `families`: within a set only a spanning forest of its pairs of different components that are near is put out. The
-   components of the forests and stars together are families: every pair that can still link two components lies in one.
+5. `families`: within a set only stars of the components that its near pairs connect are put out. The components of
+   these stars are families: every pair that can still link two components lies in one.
 6. `confirmed`: a family (or, where it is too large for a task, each of its sets) is brought together with its members'
    full shingle sets, and near pairs of different components are tried. A link holds where
    100 * intersection >= 75 * union. Only the links that join two components are put out.
@@ -285,21 +285,21 @@ def _near(sign: np.ndarray, n: np.ndarray, i: int, of: np.ndarray) -> np.ndarray
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by bucket -> (a, b): each class with the least one that near pairs of different parts connect it to. Classes of one part count as connected, and pairs of the last buckets aren't repeated."""
+    """Rows by bucket -> (a, b): each part b with the least one that near pairs of the bucket connect it to. Those of the last buckets aren't repeated."""
     told: set[tuple[int, int]] = set()
     for ids, n, sign, part in _runs(batches, "bucket", ["id", "n", "signature", "part"]):
         ids, n, sign, part = ids.to_numpy(), n.to_numpy(), _matrix(sign), part.to_numpy()
         order = np.argsort(ids, kind="stable")
-        ids, n, sign, part = ids[order], n[order], sign[order], part[order]
-        _, group = np.unique(part, return_inverse=True)
-        pairs = []
+        n, sign, part = n[order], sign[order], part[order]
+        values, group = np.unique(part, return_inverse=True)
+        pairs = set()
         # A part reaches another through any near pair: walk over parts, smallest first, against all that aren't reached yet.
         size = np.bincount(group)
-        left = np.ones(len(ids), dtype=bool)
+        left = np.ones(len(group), dtype=bool)
         for start in np.argsort(size, kind="stable"):
             if not left[group == start].any():
                 continue
-            todo = [start]
+            todo, tree = [start], [start]
             left[group == start] = False
             while todo:
                 now = todo.pop()
@@ -309,11 +309,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         break
                     near = of[_near(sign, n, i, of) <= NEAR]
                     if len(near):
-                        reached, one = np.unique(group[near], return_index=True)
-                        pairs += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in near[one]]
+                        reached = np.unique(group[near])
                         left[np.isin(group, reached)] = False
                         todo.extend(reached.tolist())
-        fresh = set(pairs) - told
+                        tree.extend(reached.tolist())
+            # A star, so that buckets that connect the same parts name the same pairs.
+            own = np.sort(values[tree]).tolist()
+            pairs.update((own[0], x) for x in own[1:])
+        fresh = pairs - told
         if fresh:
             if len(told) > 500_000:
                 told.clear()
@@ -322,18 +325,15 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def families(members: DataFrame, stars_: DataFrame) -> DataFrame:
+def families(members: DataFrame) -> DataFrame:
     """members(bucket, id, n, signature, part) -> (id, family) of all classes of parts that may be linked with another."""
     n = shuffle_partitions(members.sparkSession)
     rows = members.repartition(n, "bucket").sortWithinPartitions("bucket").select("bucket", "id", "n", "signature", "part")
     pairs = saved(rows.mapInArrow(_forest, "a long, b long").distinct())
     if pairs.isEmpty():
         return pairs.select(F.col("a").alias("id"), F.col("b").alias("family"))
+    grouped = connected_components(thinned(pairs), "a", "b", cut=saved)
     met = members.select("id", "part").distinct()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    parts = ends.join(met, "id")
-    joined = pairs.join(parts.selectExpr("id as a", "part as x"), "a").join(parts.selectExpr("id as b", "part as y"), "b").select("x", "y").distinct()
-    grouped = connected_components(saved(joined), "x", "y", cut=saved)
     return met.join(grouped.selectExpr("vertex as part", "component as family"), "part").select("id", "part", "family")
 
 
@@ -461,7 +461,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     star = stored(stars(found, classes, docs), "star-links")
     classes = stored(_components(star, classes), "parted")
     members = stored(listed(meetings(found, classes)).join(classes.select("id", "n", "signature", "part"), "id"), "members")
-    family = families(members, star)
+    family = families(members)
     links = star
     if not family.isEmpty():
         unit = saved(units(members, family, classes))
