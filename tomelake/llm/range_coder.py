@@ -1,111 +1,105 @@
 """Adaptive context-mixing range coder for token ids, run over many independent blocks in step.
 
-Each block is coded from a fresh state. For each id, an order-2 and an order-1 context propose the id that followed them
-last; how sure each is and whether they agree selects an adaptive distribution over {order-2 proposal, order-1 proposal,
-neither}, which is the weight of each prediction in the mixture. In the third case an adaptive order-0 model codes the id
-by its hexadecimal digits, each with a distribution that depends on the two digits before it. All distributions are
-cumulative tables of total 2**14 that move towards each coded symbol.
-
-The range coder keeps 48 bits, puts out 16 bits at a time, and carries into what it has put out. One numpy step codes the
-same position of all blocks, so the cost per id falls with the number of blocks.
+Each block is coded from a fresh state. An order-2 and an order-1 context propose the id that followed them last; the
+order-0 prediction is a table of shares that all blocks of a call have in common (`shares`). An id is one symbol of the
+mixture of the three: its share times the weight of order 0, plus the weight of each context that proposes it. How sure the
+contexts are and whether they agree selects a block's weights, which move towards each prediction's part in what came.
+
+Shares add up to 2**20 and weights to 2**10. The range coder keeps 48 bits, puts out 16 bits at a time, and carries into
+what it has put out. One numpy step codes the same position of all blocks, so the cost per id falls with the number of blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-TOTAL_BITS = 14
-TOTAL = 1 << TOTAL_BITS
+SHARE_BITS, WEIGHT_BITS = 20, 10
+SHARES, WEIGHTS = 1 << SHARE_BITS, 1 << WEIGHT_BITS
+TOTAL_BITS = SHARE_BITS + WEIGHT_BITS
 RATE = 5
-LEAST = 16
 SLOTS1, SLOTS2 = 1 << 10, 1 << 11
+#: How sure a context is takes two bits.
 SURE = 3
-_U = np.uint64
-_48 = _U((1 << 48) - 1)
-_LOW = _U(1 << 32)
-_16 = _U(16)
-_32 = _U(32)
-
-
-def _targets(n: int) -> np.ndarray:
-    """Row s: the cumulative table that gives symbol s all but the least shares."""
-    at = np.arange(n + 1)
-    return np.stack([np.where(at <= s, at * LEAST, TOTAL - (n - at) * LEAST) for s in range(n)]).astype(np.int16)
+_48, _LOW, _WORD = (1 << 48) - 1, 1 << 32, (1 << 16) - 1
 
 
-_T3, _T16 = _targets(3), _targets(16)
+def shares(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, the most frequent first, and the share of each, at least 1."""
+    count = np.bincount(ids)
+    found = np.flatnonzero(count)
+    found = found[np.argsort(-count[found], kind="stable")]
+    if not len(found):
+        return found, count
+    if len(found) > 1 << 16:
+        raise ValueError("a table holds 65536 different ids")
+    share = 1 + count[found] * (SHARES - len(found)) // count.sum()
+    share[0] += SHARES - share.sum()
+    return found, share
 
 
-def _start(rows: int, n: int) -> np.ndarray:
-    return np.tile((np.arange(n + 1) * TOTAL // n).astype(np.int16), (rows, 1))
+def _even() -> tuple[np.ndarray, np.ndarray]:
+    return np.arange(1 << 16), np.full(1 << 16, SHARES >> 16)
 
 
 class _Models:
-    """State of the predictions of all blocks."""
-
-    def __init__(self, lanes: int, digits: int):
-        self.digits = digits
-        kind = np.uint16 if digits <= 4 else np.int64  # small tables stay in the processor's cache
-        self.contexts = 17 + 256 * max(0, digits - 2)
-        self.flags = _start(lanes * (SURE + 1) ** 2 * 2, 3)
-        self.hexes = _start(lanes * self.contexts, 16)
-        self.next1, self.sure1 = np.zeros(lanes * SLOTS1, kind), np.zeros(lanes * SLOTS1, np.int8)
-        self.next2, self.sure2 = np.zeros(lanes * SLOTS2, kind), np.zeros(lanes * SLOTS2, np.int8)
-        self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.lane = np.arange(lanes)
+    """State of the predictions of all blocks. Ids are places in the table of shares."""
+
+    def __init__(self, lanes: int):
+        self.next1, self.next2 = np.zeros(lanes * SLOTS1, np.uint32), np.zeros(lanes * SLOTS2, np.uint32)
+        self.part1, self.part2 = (np.full(lanes * (SURE + 1) ** 2 * 2, WEIGHTS, np.int32) for _ in range(2))
+        self.hash, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        lane = np.arange(lanes)
+        self.base1, self.base2, self.base = lane * SLOTS1, lane * SLOTS2, lane * ((SURE + 1) ** 2 * 2)
 
     def propose(self, n: int):
-        """Of the first n blocks: slots, proposals and the row of flags."""
-        lane, last, last2 = self.lane[:n], self.last[:n], self.last2[:n]
-        h = last * 0x9E3779B1
-        i1 = lane * SLOTS1 + ((h >> 12) & (SLOTS1 - 1))
-        i2 = lane * SLOTS2 + (((h ^ (last2 * 0x85EBCA6B)) >> 13) & (SLOTS2 - 1))
-        a1, a2 = self.next1[i1].astype(np.int64), self.next2[i2].astype(np.int64)
-        row = ((lane * (SURE + 1) + self.sure2[i2]) * (SURE + 1) + self.sure1[i1]) * 2 + (a1 == a2)
-        return i1, i2, a1, a2, row
-
-    def learn(self, n: int, i1, i2, a1, a2, ids) -> None:
-        for i, a, follow, sure in ((i1, a1, self.next1, self.sure1), (i2, a2, self.next2, self.sure2)):
-            hit, was = a == ids, sure[i]
-            follow[i] = np.where(hit | (was > 0), a, ids)
-            sure[i] = np.where(hit, np.minimum(was + 1, SURE), np.maximum(was - 1, 0))
-        self.last2[:n] = self.last[:n]
+        """Of the first n blocks: proposals of order 1 and 2, and weights of order 1, 2 and 0."""
+        h = self.last[:n] * 0x9E3779B1
+        self.i1 = self.base1[:n] + ((h >> 12) & (SLOTS1 - 1))
+        self.i2 = self.base2[:n] + (((h ^ self.hash[:n]) >> 13) & (SLOTS2 - 1))
+        self.hash[:n] = self.last[:n] * 0x85EBCA6B
+        self.s1, self.s2 = self.next1[self.i1].astype(np.int64), self.next2[self.i2].astype(np.int64)
+        a1, a2 = self.s1 >> 2, self.s2 >> 2
+        self.row = self.base[:n] + (((self.s2 & 3) << 3) | ((self.s1 & 3) << 1) | (a1 == a2))
+        self.p1, self.p2 = self.part1[self.row].astype(np.int64), self.part2[self.row].astype(np.int64)
+        # At most 994 of 1024 together, as the parts are at most 2**16.
+        w1, w2 = (self.p1 * 62 >> 12) + 1, (self.p2 * 62 >> 12) + 1
+        return a1, a2, w1, w2, WEIGHTS - w1 - w2
+
+    def learn(self, n: int, ids, hit1, hit2, w1, w2, size) -> None:
+        """size: of the ids in the mixture. Each prediction's part in it is a share of 2**16."""
+        g, fresh = (1 << 46) // size, ids << 2
+        for part, was, hit, w in ((self.part1, self.p1, hit1, w1), (self.part2, self.p2, hit2, w2)):
+            part[self.row] = (was + (((w * hit * g >> 10) - was) >> RATE)).astype(np.int32)
+        for follow, i, s, hit in ((self.next1, self.i1, self.s1, hit1), (self.next2, self.i2, self.s2, hit2)):
+            sure = s & 3
+            follow[i] = np.where(hit, s + (sure < SURE), np.where(sure > 0, s - 1, fresh)).astype(np.uint32)
         self.last[:n] = ids
 
-    def hex_row(self, lanes, j: int, before, before2):
-        base = lanes * self.contexts
-        return base if j == 0 else base + 1 + before if j == 1 else base + 17 + 256 * (j - 2) + 16 * before2 + before
-
-
-def _adapt(table: np.ndarray, rows: np.ndarray, now: np.ndarray, symbols: np.ndarray, targets: np.ndarray) -> None:
-    step = targets[symbols]
-    step -= now
-    step >>= RATE
-    step += now
-    table[rows] = step
-
 
 class _Writer:
     def __init__(self, lanes: int, words: int):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 1 << 48, _U)
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
         self.out, self.at = np.zeros((lanes, words), np.uint16), np.zeros(lanes, np.int64)
 
-    def put(self, lanes, lo: np.ndarray, hi: np.ndarray) -> None:
-        r = self.range[lanes] >> _U(TOTAL_BITS)
-        low = self.low[lanes] + r * lo.astype(_U)
-        size = r * (hi - lo).astype(_U)
+    def put(self, n: int, lo: np.ndarray, size: np.ndarray) -> None:
+        """Of the first n blocks: where a symbol begins, and its size."""
+        r = self.range[:n] >> TOTAL_BITS
+        low, size = self.low[:n], r * size
+        low += r * lo
         over = low > _48
         if over.any():
-            self._carry(lanes[over])
+            self._carry(np.flatnonzero(over))
             low &= _48
-        short = size < _LOW
-        if short.any():
-            who = lanes[short]
-            self.out[who, self.at[who]] = (low[short] >> _32).astype(np.uint16)
-            self.at[who] += 1
-            low[short] = (low[short] << _16) & _48
-            size[short] <<= _16
-        self.low[lanes], self.range[lanes] = low, size
+        who = np.flatnonzero(size < _LOW)
+        while len(who):
+            own = low[who]
+            at = self.at[who]
+            self.out[who, at] = own >> 32
+            self.at[who] = at + 1
+            low[who] = (own << 16) & _48
+            size[who] <<= 16
+            who = who[size[who] < _LOW]
+        self.range[:n] = size
 
     def _carry(self, who: np.ndarray) -> None:
         at = self.at[who] - 1
@@ -116,7 +110,7 @@ class _Writer:
 
     def finish(self) -> list[bytes]:
         for shift in (32, 16, 0):
-            self.out[np.arange(len(self.at)), self.at] = (self.low >> _U(shift)).astype(np.uint16)
+            self.out[np.arange(len(self.at)), self.at] = (self.low >> shift) & _WORD
             self.at += 1
         return [self.out[i, : self.at[i]].astype("<u2").tobytes() for i in range(len(self.at))]
 
@@ -124,30 +118,29 @@ class _Writer:
 class _Reader:
     def __init__(self, blocks: list[bytes]):
         longest = max(map(len, blocks), default=0) // 2
-        self.words = np.zeros((len(blocks), longest + 4), _U)
+        self.words = np.zeros((len(blocks), longest + 4), np.uint16)
         for i, b in enumerate(blocks):
             self.words[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-        self.code = (self.words[:, 0] << _32) | (self.words[:, 1] << _16) | self.words[:, 2]
-        self.range, self.at = np.full(len(blocks), 1 << 48, _U), np.full(len(blocks), 3)
-
-    def get(self, lanes, table: np.ndarray) -> np.ndarray:
-        """The symbol of each block whose cumulative table is the row of `table`."""
-        r = self.range[lanes] >> _U(TOTAL_BITS)
-        code = self.code[lanes]
-        value = np.minimum(code // r, _U(TOTAL - 1)).astype(np.int16)
-        symbol = (table[:, 1:-1] <= value[:, None]).sum(axis=1)
-        each = np.arange(len(symbol))
-        lo, hi = table[each, symbol], table[each, symbol + 1]
-        code = code - r * lo.astype(_U)
-        size = r * (hi - lo).astype(_U)
-        short = size < _LOW
-        if short.any():
-            who = lanes[short]
-            code[short] = (code[short] << _16) | self.words[who, self.at[who]]
-            self.at[who] += 1
-            size[short] <<= _16
-        self.code[lanes], self.range[lanes] = code, size
-        return symbol
+        first = self.words[:, :3].astype(np.int64)
+        self.code = (first[:, 0] << 32) | (first[:, 1] << 16) | first[:, 2]
+        self.range, self.at = np.full(len(blocks), 1 << 48, np.int64), np.full(len(blocks), 3)
+
+    def value(self, n: int) -> np.ndarray:
+        """Of the first n blocks: a place within the symbol that comes."""
+        self.r = self.range[:n] >> TOTAL_BITS
+        return np.minimum(self.code[:n] // self.r, (1 << TOTAL_BITS) - 1)
+
+    def skip(self, n: int, lo: np.ndarray, size: np.ndarray) -> None:
+        code, size = self.code[:n], self.r * size
+        code -= self.r * lo
+        who = np.flatnonzero(size < _LOW)
+        while len(who):
+            at = self.at[who]
+            code[who] = (code[who] << 16) | self.words[who, at]
+            self.at[who] = at + 1
+            size[who] <<= 16
+            who = who[size[who] < _LOW]
+        self.range[:n] = size
 
 
 def _lanes_at(lengths: list[int]):
@@ -161,53 +154,48 @@ def _lanes_at(lengths: list[int]):
         yield t, n
 
 
-def encode_blocks(blocks: list[np.ndarray], digits: int = 4) -> list[bytes]:
-    """Blocks of ids below 16**digits, in order of falling length."""
+def _symbol(ids, a1, a2, w1, w2, w0, begin, share):
+    """Which contexts propose the ids; where they begin in the mixture, and their size there."""
+    hit1, hit2 = a1 == ids, a2 == ids
+    lo = w0 * begin[ids] + ((w1 * (a1 < ids) + w2 * (a2 < ids)) << SHARE_BITS)
+    return hit1, hit2, lo, w0 * share[ids] + ((w1 * hit1 + w2 * hit2) << SHARE_BITS)
+
+
+def encode_blocks(blocks: list[np.ndarray], table: tuple[np.ndarray, np.ndarray] | None = None) -> list[bytes]:
+    """Blocks in order of falling length, of ids in a table of shares (without one: of ids below 2**16)."""
+    known, share = table or _even()
     lengths = [len(b) for b in blocks]
-    ids_at = np.zeros((max(lengths, default=0), len(blocks)), np.int64)
+    place = np.zeros(int(known.max(initial=0)) + 1, np.uint16)
+    place[known] = np.arange(len(known))
+    ids_at = np.zeros((max(lengths, default=0), len(blocks)), np.uint16)
     for i, b in enumerate(blocks):
-        ids_at[: len(b), i] = b
-    models, out = _Models(len(blocks), digits), _Writer(len(blocks), (digits + 1) * max(lengths, default=0) * 3 // 4 + 16)
+        ids_at[: len(b), i] = place[b]
+    begin = np.cumsum(share) - share
+    models, out = _Models(len(blocks)), _Writer(len(blocks), 2 * max(lengths, default=0) + 8)
     for t, n in _lanes_at(lengths):
-        ids, lanes = ids_at[t, :n], models.lane[:n]
-        i1, i2, a1, a2, row = models.propose(n)
-        kind = np.where(ids == a2, 0, np.where(ids == a1, 1, 2))
-        now = models.flags[row]
-        out.put(lanes, now[lanes, kind], now[lanes, kind + 1])
-        _adapt(models.flags, row, now, kind, _T3)
-        if len(rest := np.flatnonzero(kind == 2)):
-            each, before, before2 = np.arange(len(rest)), None, None
-            for j in range(digits):
-                digit = (ids[rest] >> (4 * (digits - 1 - j))) & 15
-                row = models.hex_row(rest, j, before, before2)
-                now = models.hexes[row]
-                out.put(rest, now[each, digit], now[each, digit + 1])
-                _adapt(models.hexes, row, now, digit, _T16)
-                before, before2 = digit, before
-        models.learn(n, i1, i2, a1, a2, ids)
+        ids = ids_at[t, :n].astype(np.int64)
+        a1, a2, w1, w2, w0 = models.propose(n)
+        hit1, hit2, lo, size = _symbol(ids, a1, a2, w1, w2, w0, begin, share)
+        out.put(n, lo, size)
+        models.learn(n, ids, hit1, hit2, w1, w2, size)
     return out.finish()
 
 
-def decode_blocks(blocks: list[bytes], lengths: list[int], digits: int = 4) -> list[np.ndarray]:
-    models, source = _Models(len(blocks), digits), _Reader(blocks)
-    ids_at = np.zeros((max(lengths, default=0), len(blocks)), np.int64)
+def decode_blocks(blocks: list[bytes], lengths: list[int], table: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
+    known, share = table or _even()
+    begin, owner = np.cumsum(share) - share, np.repeat(np.arange(len(known), dtype=np.uint16), share)
+    models, source = _Models(len(blocks)), _Reader(blocks)
+    ids_at = np.zeros((max(lengths, default=0), len(blocks)), np.uint16)
     for t, n in _lanes_at(lengths):
-        lanes = models.lane[:n]
-        i1, i2, a1, a2, row = models.propose(n)
-        now = models.flags[row]
-        kind = source.get(lanes, now)
-        _adapt(models.flags, row, now, kind, _T3)
-        ids = np.where(kind == 0, a2, a1)
-        if len(rest := np.flatnonzero(kind == 2)):
-            found, before, before2 = np.zeros(len(rest), np.int64), None, None
-            for j in range(digits):
-                row = models.hex_row(rest, j, before, before2)
-                now = models.hexes[row]
-                digit = source.get(rest, now)
-                _adapt(models.hexes, row, now, digit, _T16)
-                found = (found << 4) | digit
-                before, before2 = digit, before
-            ids[rest] = found
-        models.learn(n, i1, i2, a1, a2, ids)
+        a1, a2, w1, w2, w0 = models.propose(n)
+        # A context's weight lies where its id begins; without both weights, the value is one of order 0.
+        value = source.value(n)
+        first, m1, m2 = a1 <= a2, w1 << SHARE_BITS, w2 << SHARE_BITS
+        at1, at2 = w0 * begin[a1] + m2 * ~first, w0 * begin[a2] + m1 * first
+        rest = value - np.minimum(np.maximum(value - at1, 0), m1) - np.minimum(np.maximum(value - at2, 0), m2)
+        ids = owner[rest // w0].astype(np.int64)
+        hit1, hit2, lo, size = _symbol(ids, a1, a2, w1, w2, w0, begin, share)
+        source.skip(n, lo, size)
+        models.learn(n, ids, hit1, hit2, w1, w2, size)
         ids_at[t, :n] = ids
-    return [ids_at[:length, i] for i, length in enumerate(lengths)]
+    return [known[ids_at[:length, i]] for i, length in enumerate(lengths)]

@@ -1,10 +1,11 @@
 """Token-id files: ids of whole documents in ascending doc_id order, range-coded in independent, checksummed blocks.
 
 File layout, little-endian, in groups of at most GROUP_BLOCKS blocks, each of which can be read alone:
-    b"TLIDS1\\0\\0", then for each group: number of documents whose last id lies in it, of blocks and of ids (3 x u32), length
-    of the document table (u32); the table (zlib: doc_id i64 and number of ids u64 each) and its crc32; for each block its
+    b"TLIDS2\\0\\0", then for each group: number of documents whose last id lies in it, of blocks and of ids (3 x u32), lengths
+    of the document table and of the table of shares (2 x u32); the document table (zlib: doc_id i64 and number of ids u64
+    each) and its crc32; the group's shares (zlib: ids and their shares, u32 each) and their crc32; for each block its
     number of ids, length, crc32 of its bytes and crc32 of its ids as u32 (4 x u32); the blocks' bytes.
-A block is coded from a fresh state (range_coder), so a damaged one is found by its checksum and costs only itself.
+With the group's shares a block is coded from a fresh state (range_coder), so a damaged one is found by its checksum and costs only itself.
 
 Writers work on ranges of doc_id, one file each, under a temporary name that is moved to the final one when the file is
 whole: a task that runs again replaces its file by the same one. Files lie in the shared folder and are opened through
@@ -28,14 +29,15 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import saved, scratch, shuffle_partitions, table
-from .range_coder import decode_blocks, encode_blocks
+from .range_coder import decode_blocks, encode_blocks, shares
 
-MAGIC = b"TLIDS1\0\0"
+MAGIC = b"TLIDS2\0\0"
 BLOCK_IDS, GROUP_BLOCKS = 4096, 1536
-DIGITS = 4
+#: Ids are below it.
+MOST_ID = 1 << 16
 #: Stands in a file for a missing doc_id.
 NO_ID = -(1 << 63)
-_HEAD, _BLOCK = struct.Struct("<4I"), struct.Struct("<4I")
+_HEAD, _BLOCK = struct.Struct("<5I"), struct.Struct("<4I")
 
 
 class DamagedFile(ValueError):
@@ -72,13 +74,16 @@ class FileWriter:
         self.docs = self.docs[len(ended) :]
         listed = zlib.compress(np.array([d for d, _ in ended], "<i8").tobytes() + np.array([c for _, c in ended], "<u8").tobytes(), 6)
         ids = np.frombuffer(now, "<u4").astype(np.int64)
-        if len(ids) and ids.max() >= 1 << (4 * DIGITS):
-            raise ValueError(f"the format holds ids below {1 << (4 * DIGITS)}, not {ids.max()}")
+        if len(ids) and ids.max() >= MOST_ID:
+            raise ValueError(f"the format holds ids below {MOST_ID}, not {ids.max()}")
         blocks = [ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)]
-        coded = encode_blocks(blocks, DIGITS)
+        found = shares(ids)
+        coded = encode_blocks(blocks, found)
+        common = zlib.compress(np.concatenate(found).astype("<u4").tobytes(), 6)
         write = self.out.write
-        write(_HEAD.pack(len(ended), len(blocks), n, len(listed)))
-        write(listed + struct.pack("<I", zlib.crc32(listed)))
+        write(_HEAD.pack(len(ended), len(blocks), n, len(listed), len(common)))
+        for part in (listed, common):
+            write(part + struct.pack("<I", zlib.crc32(part)))
         for b, c in zip(blocks, coded, strict=True):
             write(_BLOCK.pack(len(b), len(c), zlib.crc32(c), zlib.crc32(b.astype("<u4").tobytes())))
         for c in coded:
@@ -97,18 +102,21 @@ def read_groups(source) -> Iterator[tuple[list[int], list[int], bytes]]:
     if take(len(MAGIC)) != MAGIC:
         raise DamagedFile("not a file of token ids")
     while head := source.read(_HEAD.size):
-        n_docs, n_blocks, n, size = _HEAD.unpack(head)
-        listed = take(size)
-        if struct.unpack("<I", take(4))[0] != zlib.crc32(listed):
-            raise DamagedFile("a document table is damaged")
-        listed = zlib.decompress(listed)
+        n_docs, n_blocks, n, *sizes = _HEAD.unpack(head)
+        parts = []
+        for size in sizes:
+            part = take(size)
+            if struct.unpack("<I", take(4))[0] != zlib.crc32(part):
+                raise DamagedFile("a group's tables are damaged")
+            parts.append(zlib.decompress(part))
+        listed, common = parts[0], np.frombuffer(parts[1], "<u4").astype(np.int64).reshape(2, -1)
         docs, counts = np.frombuffer(listed, "<i8", n_docs), np.frombuffer(listed, "<u8", n_docs, 8 * n_docs)
         index = [_BLOCK.unpack(take(_BLOCK.size)) for _ in range(n_blocks)]
         coded = [take(length) for _, length, _, _ in index]
         for i, (c, x) in enumerate(zip(coded, index, strict=True)):
             if zlib.crc32(c) != x[2]:
                 raise DamagedFile(f"block {i} is damaged")
-        ids = [b.astype("<u4").tobytes() for b in decode_blocks(coded, [x[0] for x in index], DIGITS)]
+        ids = [b.astype("<u4").tobytes() for b in decode_blocks(coded, [x[0] for x in index], (common[0], common[1]))]
         if any(zlib.crc32(b) != x[3] for b, x in zip(ids, index, strict=True)) or sum(x[0] for x in index) != n:
             raise DamagedFile("ids differ from their checksum")
         yield docs.tolist(), counts.tolist(), b"".join(ids)
